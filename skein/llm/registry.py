@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, linededup, packing, warc
+from . import licenses, linededup, neardup, packing, tokencounts, tokenids, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,13 +19,25 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.bundles(table(spark, sf_dir, "pages"))
 
 
+def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents"))
 
 
+def op6_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencounts.count_tokens(table(spark, sf_dir, "documents"))
+
+
+def op8_tokenids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenids.encoded(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op5_linededup, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_warc, op4_neardup, op5_linededup, op6_tokencounts, op8_tokenids, op10_licenses)}
 ORACLES = {"op5_linededup": linededup.SQL}
