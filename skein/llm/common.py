@@ -74,9 +74,11 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
     for i, k in enumerate(length.tolist()):
         if i > start and total + k > size:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()
             start, total = i, 0
         total += k
     yield batch.slice(start, n - start)
+    pa.default_memory_pool().release_unused()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

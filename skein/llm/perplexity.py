@@ -28,13 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, fresh_path, mix, ragged, slices, text_key, written
+from .common import fresh, fresh_path, mix, slices, text_key, written
 
 ORDER = 6
 BANDS, NOISE, STEP = (4.0, 4.0), 1.5, 1e-4
 MODEL_ROWS = 48 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
-HELD = 4 << 20
+HELD = 3 << 19
 
 
 def normal(text: pa.Array) -> pa.Array:
@@ -46,16 +46,15 @@ def grams(text: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of normalised texts, one for each byte, and the number of bytes by text."""
     flat = text.cast(pa.large_binary())
     ends = np.frombuffer(flat.buffers()[1], np.int64)[flat.offset : flat.offset + len(flat) + 1]
-    data = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    n = np.diff(ends)
-    pad = order - 1
-    starts = ends[:-1] - ends[0]
-    padded = np.zeros(len(data) + pad * len(n), np.uint64)
-    place = ragged(starts + pad * np.arange(1, len(n) + 1), n)
-    padded[place] = data
-    out = np.zeros(len(place), np.uint64)
-    for j in range(order):
-        out |= padded[place - j] << np.uint64(8 * j)
+    out = np.frombuffer(flat.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64)
+    width = 1
+    while width < order:  # longer n-grams of shorter ones
+        step = min(width, order - width)
+        out[step:] |= out[:-step] << np.uint64(8 * step)
+        width += step
+    n, starts = np.diff(ends), ends[:-1] - ends[0]
+    for k in range(order - 1):  # nothing of the text before
+        out[starts[n > k] + k] &= np.uint64((1 << 8 * (k + 1)) - 1)
     return out, n
 
 
@@ -103,7 +102,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 if size >= HELD:
                     held = {lang: tuple([x] for x in squeeze(*kc)) for lang, kc in held.items()}
                     size = sum(len(k[0]) for k, _ in held.values())
-                    if size >= HELD // 2:
+                    if size >= HELD * 3 // 4:
                         yield from out()
                         held, size = {}, 0
         yield from out()
@@ -201,6 +200,8 @@ def loaded(paths: tuple[str, str], lang: str, order: int) -> HashArrays:
         for p in paths:
             fs, at = FileSystem.from_uri(p if "://" in p else f"file://{p}")
             t.append(pq.read_table(at, filesystem=fs, filters=[("lang", "=", lang)], partitioning=None))
+        for other in [k for k in _MODELS if k[0] != paths[0]]:
+            del _MODELS[other]
         while _MODELS and sum(len(m.keys) for m in _MODELS.values()) + len(t[0]) > MODEL_ROWS:
             del _MODELS[next(iter(_MODELS))]
         _MODELS[key] = HashArrays(*t, order)
