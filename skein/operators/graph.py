@@ -138,8 +138,9 @@ def bipartite(g: Graph) -> DataFrame:
 def girth(g: Graph) -> DataFrame:
     """Length of the shortest cycle; null where there is none.
 
-    Triangles, then pairs with two common neighbours, then all vertices walked breadth first, level by level; up to the
-    level of the shortest cycle every walk reaches a vertex along one path only.
+    Triangles first; then cycles of four, which there must be where vertices open more wedges than there are pairs, and
+    else are looked for among wedges below their end of highest degree; then all vertices are walked breadth first, level
+    by level. Up to the level of the shortest cycle every walk reaches a vertex along one path only.
     """
     spark = g.edges.sparkSession
 
@@ -151,6 +152,17 @@ def girth(g: Graph) -> DataFrame:
         return answer(None)
     if not triangle_rows(g).isEmpty():
         return answer(3)
+    d = degrees(g)
+    wedges = d.agg(F.sum(F.col("degree").cast("double") * (F.col("degree") - 1) / 2)).first()[0]
+    if wedges > counts[0] * (counts[0] - 1) / 2:
+        return answer(4)
+    rank = d.select(F.col("id").alias("src"), F.struct("degree", "id").alias("rank"))
+    e = g.edges.join(rank, "src")
+    x = e.select(F.col("src").alias("u"), F.col("dst").alias("a"), "rank")
+    y = e.select(F.col("src").alias("w"), F.col("dst").alias("a"), F.col("rank").alias("below"))
+    inner = rank.select(F.col("src").alias("a"), F.col("rank").alias("middle"))
+    if not x.join(inner, "a").filter("middle < rank").join(y, "a").filter("below < rank").groupBy("u", "w").count().filter("count > 1").isEmpty():
+        return answer(4)
     core = g.edges
     for _ in range(8):  # dangling paths hold no cycle; what's left of longer ones does no harm
         ends = core.groupBy("src").count().filter("count = 1").select("src")

@@ -12,7 +12,7 @@ import sys
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SKIPPED = {".obsidian", ".git", ".trash", "node_modules", ".venv", "__pycache__"}
 BATCH = 256
@@ -80,16 +80,7 @@ class VaultReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.content = options.get("content", "true").lower() == "true"
-        self.relpath: str | None = None
-        self.prefix = ""
-
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("relpath",):
-                self.relpath = f.value
-            elif isinstance(f, StringStartsWith) and f.attribute == ("relpath",):
-                self.prefix = f.value
-            yield f  # Spark checks them again
+        self.prefix = options.get("prefix", "")
 
     def partitions(self):
         rows, seen = [], set()
@@ -100,7 +91,7 @@ class VaultReader(DataSourceReader):
                     continue
                 seen.add(real)
                 rows.append((len(rows), o, root, rel, full))
-        rows = [r for r in rows if r[3].startswith(self.prefix) and self.relpath in (None, r[3])]
+        rows = [r for r in rows if r[3].startswith(self.prefix)]
         return [Files(rows[i : i + BATCH]) for i in range(0, len(rows), BATCH)] or [Files([])]
 
     def read(self, partition):
@@ -116,7 +107,10 @@ class VaultReader(DataSourceReader):
 
 
 class VaultSource(DataSource):
-    """Options: paths (comma separated) or path; content=false reads names and sizes alone."""
+    """Options: paths (comma separated) or path; content=false reads names and sizes alone; prefix of relative paths.
+
+    Filters aren't pushed down: Spark keeps the reader of a DataFrame, and a filter of one query would stay for the next.
+    """
 
     @classmethod
     def name(cls):
@@ -129,8 +123,7 @@ class VaultSource(DataSource):
         return VaultReader(self.options)
 
 
-def read_vaults(spark: SparkSession, *roots: str, content: bool = True) -> DataFrame:
-    """The notes of one or several folders."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def read_vaults(spark: SparkSession, *roots: str, content: bool = True, prefix: str = "") -> DataFrame:
+    """The notes of one or several folders, those below a prefix alone if one is given."""
     spark.dataSource.register(VaultSource)
-    return spark.read.format("vault").option("paths", ",".join(roots)).option("content", str(content).lower()).load()
+    return spark.read.format("vault").option("paths", ",".join(roots)).option("content", str(content).lower()).option("prefix", prefix).load()
