@@ -6,7 +6,7 @@ lines of a page and of its partner are aligned by longest common subsequence, an
 banners and notices that a template repeats. What stays is the page's own text.
 
 Neighbours are found on the distinct paths alone, in ranges that cut large hosts, too. Lines travel as 64-bit hashes;
-the text itself moves once, compressed.
+the text itself is moved once, compressed, and written nowhere: pages are read twice instead.
 
 Defined results. Scheme, query, fragment, letter case of the host, and slashes at the end make no difference: pages that
 differ in nothing else are one path, and share their partner; it's compared by its least page, by page_id, nulls first,
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import slices, written
+from .common import slices, text_batches, written
 
 #: Bits of the alignment's table that are held at once; beyond that it's split in two (Hirschberg).
 TABLE_BITS = 1 << 28
@@ -110,8 +110,9 @@ def aligned(a: list[int], b: list[int], table_bits: int = TABLE_BITS) -> list[in
     return [*range(head), *(head + where[i] for i in mid), *range(len(a) - tail, len(a))]
 
 
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, path, k (hash of the row), hashes of the lines, and the lines compressed."""
+def extracted(pages: DataFrame, bodies: bool) -> DataFrame:
+    """page_id, url, host, path, k (hash of the row), hashes of the lines, and, with bodies, the lines compressed."""
+    text_batches(pages.sparkSession)
     base = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
     host = F.lower(F.regexp_extract("url", base + r"([^/?#]+)", 1))
     path = F.regexp_replace(F.regexp_extract("url", base + r"[^/?#]+([^?#]*)", 1), "/+$", "")
@@ -127,10 +128,12 @@ def extracted(pages: DataFrame) -> DataFrame:
             for b in slices(batch):
                 each = lines_of(b.column("text"))
                 hashes = [np.array([xxhash.xxh64_intdigest(s) for s in x], np.uint64).tobytes() for x in each]
-                bodies = [squash.compress("\n".join(x).encode()) for x in each]
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(hashes, pa.binary()), pa.array(bodies, pa.binary())], [*keep, "hashes", "body"])
+                out = {c: b.column(c) for c in keep} | {"hashes": pa.array(hashes, pa.binary())}
+                if bodies:
+                    out["body"] = pa.array([squash.compress("\n".join(x).encode()) for x in each], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
-    return src.mapInArrow(run, "page_id bigint, url string, host string, path string, k bigint, hashes binary, body binary")
+    return src.mapInArrow(run, "page_id bigint, url string, host string, path string, k bigint, hashes binary" + ", body binary" * bodies)
 
 
 @F.pandas_udf(T.LongType())
@@ -158,11 +161,11 @@ def partners(paths: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
     """page_id, url, text, n_lines, n_removed and partner (its path) of each page."""
-    rows = written(extracted(pages), "lines")
+    rows = written(extracted(pages, False), "lines")
     least = rows.filter("host is not null").groupBy("host", "path").agg(F.min(F.struct("page_id", "k", "hashes")).alias("least"))
     least = least.select("host", F.col("path").alias("partner"), F.col("least.hashes").alias("other"))
     pairs = partners(rows.select("host", "path")).filter("partner is not null").join(least, ["host", "partner"])
-    joined = rows.drop("k").join(pairs, ["host", "path"], "left").select("page_id", "url", "hashes", "body", "partner", "other")
+    joined = extracted(pages, True).drop("k").join(pairs, ["host", "path"], "left").select("page_id", "url", "hashes", "body", "partner", "other")
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("partner", pa.string())])
 
     def run(batches):
