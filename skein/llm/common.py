@@ -2,53 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, shared_dir, written  # noqa: F401
+
 #: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only where that is unset."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
-        sc.setCheckpointDir(root)
-    path = f"{root.rstrip('/')}/skein-{sc.applicationId}"
-    if path not in _CLEAN:
-        _CLEAN.add(path)
-        atexit.register(_remove, spark, path)
-    return path
-
-
-_CLEAN: set[str] = set()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    sc = spark.sparkContext
-    if sc._jsc is not None and sc._gateway is not None and sc._jvm is not None:
-        p = sc._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+#: Rows that Spark hands to a Python worker at once. Its default of 10,000 is meant for narrow rows.
+BATCH_ROWS = 1000
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of any executor."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def text_batches(spark: SparkSession) -> None:
+    """Smaller batches for rows of whole texts, unless the session has its own size."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def fresh(df: DataFrame, base: str) -> str:

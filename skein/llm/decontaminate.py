@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, mix, ragged, slices, text_key, words, written
+from .common import fresh, mix, ragged, slices, text_batches, text_key, words, written
 from .neardup import word_hashes
 
 MIN_MATCH, COVERAGE = 4, 0.6
@@ -170,6 +170,7 @@ def item_parts(benchmark: DataFrame, part: int, least: int) -> Iterable[list[tup
 def contamination(docs: DataFrame, benchmark: DataFrame, least: int = MIN_MATCH, coverage: float = COVERAGE, part: int = PART) -> DataFrame:
     """d, k (hash of the text), item_id, coverage, n_tiles, longest: a row for each pair that counts."""
     spark = docs.sparkSession
+    text_batches(spark)
     base = docs.select(F.col("doc_id").cast("bigint").alias("d"), text_key(F.col("text")).alias("k"), "text")
     fields = "d bigint, k bigint, item_id bigint, coverage double, n_tiles int, longest int"
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest", pa.int32())])

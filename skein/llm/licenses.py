@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 TAG = "spdx-license-identifier:"
 #: Phrases of notices, and the identifier each stands for. Of overlapping phrases the longest counts.
 NOTICES = {
@@ -161,6 +163,7 @@ def scan(text: str | None):
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row a document with findings."""
+    text_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("licenses", pa.list_(pa.string())), ("expressions", pa.list_(pa.string())), ("rating", pa.int32()), ("malformed", pa.bool_()), ("n_findings", pa.int32())])
 
     def run(batches):

@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, mix, slices, text_key, words, written
-from .components import components
+from ..operators.components import components
+from .common import fresh, mix, slices, text_batches, text_key, words, written
 
 BITS, RADIUS, RECALL = 256, 52, 0.9
 STRIPS, LEAF = (64, 128), 512
@@ -67,6 +67,7 @@ def fingerprints_of(text: pa.Array) -> list[bytes | None]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """d (doc_id), k (hash of the text) and fp of each row that has words."""
+    text_batches(docs.sparkSession)
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("fp", pa.binary())])
 
     def run(batches):

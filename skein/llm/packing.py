@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encoder, vocabulary
-from .common import text_key, written
+from .common import text_batches, text_key, written
 
 MAX_TOKENS, MAX_SEGMENTS, MAX_LOSS = 4096, 24, 3072
 LOSS_ROLES = ("assistant",)
@@ -30,6 +30,7 @@ SHARD = 4096
 
 def token_counts(df: DataFrame, keys: list[str], path: str = VOCABULARY) -> DataFrame:
     """keys and n_tokens of the column text, row by row."""
+    text_batches(df.sparkSession)
     data = vocabulary(df.sparkSession, path)
 
     def count(batches):

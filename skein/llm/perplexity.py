@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, fresh_path, mix, slices, text_key, written
+from .common import fresh, fresh_path, mix, slices, text_batches, text_key, written
 
 ORDER = 6
 BANDS, NOISE, STEP = (4.0, 4.0), 1.5, 1e-4
@@ -72,6 +72,7 @@ def squeeze(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _base(docs: DataFrame) -> DataFrame:
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint").alias("d"), text_key(F.col("text")).alias("k"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
 
 
@@ -123,7 +124,7 @@ def model(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     for k in range(1, order + 1):
         t = levels[k]
         of = [F.count_if(F.col("n") == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)]
-        y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+        y = F.when(F.col("c1") > 0, F.col("c1") / (F.col("c1") + 2 * F.col("c2"))).otherwise(0.0)
         ds = [F.when(F.col(f"c{i}") > 0, F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"c{i + 1}") / F.col(f"c{i}"))).otherwise(0.0).alias(f"d{i}") for i in (1, 2, 3)]
         t = t.join(F.broadcast(t.groupBy("lang").agg(*of).select("lang", *ds)), "lang")  # one row a language
         t = t.select("lang", "gram", F.shiftright("gram", 8).alias("context"), "n", discounted(F.col("n")).alias("cut"))
@@ -148,22 +149,25 @@ def stored(df: DataFrame, name: str) -> str:
 
 
 class HashArrays:
-    """One language's model: n-grams and contexts, each an array of hashes in order and an array of values."""
+    """One language's model: n-grams and contexts, each an array of hashes in order and an array of values.
 
-    def __init__(self, probabilities: pa.Table, contexts: pa.Table, order: int):
-        self.order = order
-        self.keys, self.logp = self.sorted(probabilities, "logp")
-        self.contexts, self.logb = self.sorted(contexts, "logb")
+    Lower orders are only read when an n-gram of the highest order is missed.
+    """
+
+    def __init__(self, order: int, read):
+        self.order, self.read = order, read
+        self.top = self.sorted(read("top"))
+        self.lower = self.contexts = None
 
     @staticmethod
     def key(gram: np.ndarray, order) -> np.ndarray:
         return mix(gram | np.asarray(order, np.uint64) << np.uint64(56))
 
     @classmethod
-    def sorted(cls, t: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
+    def sorted(cls, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         h = cls.key(t.column("gram").to_numpy().view(np.uint64), t.column("order").to_numpy())
         at = np.argsort(h)
-        return h[at], t.column(value).to_numpy()[at]
+        return h[at], t.column("value").to_numpy()[at]
 
     @staticmethod
     def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,14 +178,17 @@ class HashArrays:
         """Natural log probability of each n-gram's last byte after the others; unseen ones back off."""
         out, rest = np.zeros(len(gram)), np.arange(len(gram))
         for k in range(self.order, 0, -1):
+            keys, values = self.top if k == self.order else self.lower
             g = gram[rest] & np.uint64((1 << 8 * k) - 1)
-            hit, at = self.find(self.keys, self.key(g, k))
-            out[rest[hit]] += self.logp[at[hit]]
+            hit, at = self.find(keys, self.key(g, k))
+            out[rest[hit]] += values[at[hit]]
             rest, g = rest[~hit], g[~hit]
             if not len(rest):
                 return out
-            hit, at = self.find(self.contexts, self.key(g >> np.uint64(8), k))
-            out[rest[hit]] += self.logb[at[hit]]
+            if self.lower is None:
+                self.lower, self.contexts = self.sorted(self.read("lower")), self.sorted(self.read("contexts"))
+            hit, at = self.find(self.contexts[0], self.key(g >> np.uint64(8), k))
+            out[rest[hit]] += self.contexts[1][at[hit]]
         out[rest] += np.log(1 / 256)
         return out
 
@@ -189,22 +196,24 @@ class HashArrays:
 _MODELS: dict[tuple[str, str], HashArrays] = {}
 
 
-def loaded(paths: tuple[str, str], lang: str, order: int) -> HashArrays:
-    """The model of a language; a worker holds models of at most MODEL_ROWS entries together."""
+def loaded(paths: dict[str, str], lang: str, order: int) -> HashArrays:
+    """The model of a language; a worker holds models of at most MODEL_ROWS entries of the highest order together."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSystem
 
-    key = paths[0], lang
+    def read(part: str) -> pa.Table:
+        fs, at = FileSystem.from_uri(paths[part] if "://" in paths[part] else f"file://{paths[part]}")
+        return pq.read_table(at, columns=["gram", "order", "value"], filesystem=fs, filters=[("lang", "=", lang)], partitioning=None)
+
+    key = paths["top"], lang
     if key not in _MODELS:
-        t = []
-        for p in paths:
-            fs, at = FileSystem.from_uri(p if "://" in p else f"file://{p}")
-            t.append(pq.read_table(at, filesystem=fs, filters=[("lang", "=", lang)], partitioning=None))
-        for other in [k for k in _MODELS if k[0] != paths[0]]:
+        for other in [k for k in _MODELS if k[0] != paths["top"]]:
             del _MODELS[other]
-        while _MODELS and sum(len(m.keys) for m in _MODELS.values()) + len(t[0]) > MODEL_ROWS:
+        made = HashArrays(order, read)
+        while _MODELS and sum(len(m.top[0]) for m in _MODELS.values()) + len(made.top[0]) > MODEL_ROWS:
             del _MODELS[next(iter(_MODELS))]
-        _MODELS[key] = HashArrays(*t, order)
+        _MODELS[key] = made
+        pa.default_memory_pool().release_unused()
     return _MODELS[key]
 
 
@@ -214,7 +223,8 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
     largest = probabilities.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     if largest > model_rows:
         return joined_scores(docs, probabilities, order)
-    paths = stored(probabilities, "model"), stored(contexts, "contexts")
+    values = probabilities.withColumnRenamed("logp", "value")
+    paths = {"top": stored(values.filter(F.col("order") == order), "model"), "lower": stored(values.filter(F.col("order") < order), "lower"), "contexts": stored(contexts.withColumnRenamed("logb", "value"), "contexts")}
     schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
@@ -279,7 +289,7 @@ def judged(docs: DataFrame, order: int = ORDER, bands: tuple[float, float] = BAN
     centre = median(b, "centre")
     spread = median(b.join(F.broadcast(centre), "lang").select("lang", F.abs(F.col("bin") - F.col("centre")).alias("bin")), "spread")
     s = s.join(F.broadcast(centre.join(spread, "lang")), "lang", "left")  # one row a language
-    width = F.sqrt(F.pow(F.col("spread") * (STEP * 1.4826), 2) + noise**2 / F.col("n_bytes"))
+    width = F.sqrt(F.pow(F.col("spread") * (STEP * 1.4826), 2) + noise**2 / F.greatest("n_bytes", F.lit(1)))
     s = s.withColumn("lower", F.col("centre") * STEP - bands[0] * width).withColumn("upper", F.col("centre") * STEP + bands[1] * width)
     return s.withColumn("keep", F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))).drop("centre", "spread")
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .bpe import END_OF_DOCUMENT, VOCABULARY, encoder, vocabulary
-from .common import fresh_path, slices, written
+from .common import fresh_path, slices, text_batches, written
 from .tokenids import id_type
 
 BLOCK = 1 << 22
@@ -42,6 +42,7 @@ def write_files(docs: DataFrame, path: str = VOCABULARY, separator: int = END_OF
     A task that is made again writes another file; only the files of tasks that were counted are in the result.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     data, folder = vocabulary(spark, path), fresh_path(spark, "flat")
 
     def run(batches):

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import VOCABULARY, encoder, vocabulary
-from .common import slices, written
+from .common import slices, text_batches, written
 
 BLOCK, CHECKPOINT, MAX_BITS = 1 << 18, 1024, 20
 _PIECE = pa.struct([("doc_id", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("is_null", pa.bool_())])
@@ -36,6 +36,7 @@ def id_type(n: int):
 
 def token_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (binary, little endian) and is_null, row by row."""
+    text_batches(docs.sparkSession)
     data = vocabulary(docs.sparkSession, path)
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("is_null", pa.bool_())])
 

@@ -24,6 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import text_batches
+
 FRAME, BUNDLE, LEVEL = 256 << 10, 16 << 20, 3
 SKIPPABLE, FOOTER = 0x184D2A5E, 0x8F92EAB1
 INDEX = "array<struct<page_id: bigint, frame: int, frame_start: bigint, record_offset: bigint, length: bigint>>"
@@ -71,6 +73,8 @@ def read_seek_table(payload: bytes) -> list[tuple[int, int, int, int]]:
 def bundles(pages: DataFrame, frame: int = FRAME, bundle: int = BUNDLE, level: int = LEVEL) -> DataFrame:
     """One row a bundle: its bytes and the index of its records."""
 
+    text_batches(pages.sparkSession)
+
     def pack(batches):
         import xxhash
         import zstandard
