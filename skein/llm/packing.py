@@ -62,6 +62,8 @@ def pieces(runs: list[tuple[int, bool]], max_tokens: int, max_loss: int) -> list
 def place(tokens: np.ndarray, loss: np.ndarray, limits: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Pack and slot of each example; examples are taken in the given order where scores tie."""
     n = len(tokens)
+    if n and (tokens.max() > limits[0] or loss.max() > limits[2] or limits[1] < 1):
+        raise ValueError("an example beyond a limit fits no pack")
     demand = np.stack([tokens, np.ones(n), loss], 1) / np.asarray(limits, float)
     weight = demand.mean(0)
     kinds, first, kind = np.unique(np.stack([tokens, loss], 1), axis=0, return_index=True, return_inverse=True)

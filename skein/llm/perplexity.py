@@ -11,7 +11,8 @@ scored by joins with the table instead.
 A document's score is its mean negative log probability a byte. A language's bands lie BANDS[0] (lower) and BANDS[1]
 (upper) widths around its median; a width is the root of the squares of the scaled median absolute deviation and, since
 short texts vary more, of NOISE / sqrt(bytes). What lies outside is rejected: above, it reads unlike the language;
-below, it is monotonous. Median and deviation come from a histogram of all documents with steps of STEP.
+below, it is monotonous. The model has counted the document itself, too: what occurs nowhere else, such as random letters,
+is foretold by its own counts, and falls out below. Median and deviation come from a histogram of all documents with steps of STEP.
 
 Defined results. A null lang is treated as an empty one. A text that is null, empty or white space has no score and is
 rejected. Where all deviations of a language are 0, NOISE alone counts. Repeated rows count each. All columns are kept.

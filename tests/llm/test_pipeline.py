@@ -23,6 +23,8 @@ def sf_dir(spark, tmp_path_factory):
     texts = ["\n".join(prose(r, 14) for _ in range(r.randrange(3, 9))) for _ in range(50)]
     texts += [texts[0], texts[1].replace(" ", " ", 1) + " end", f"{shared}\n{prose(r, 40)}", f"{prose(r, 40)}\n{shared}", shared, None, "", "zq" * 300, "q x " * 400]
     texts += [f"{prose(r, 30)} {items[0]} {prose(r, 30)}", f"{prose(r, 30)} {items[1]}"]
+    once = prose(r, 120)
+    texts += [once, f"{once} {prose(r, 2)}", once]
     rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(None, prose(r, 90), None, None, None)]
     spark.createDataFrame(rows, DOCS).write.parquet(f"{root}/documents.parquet")
     spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string").write.parquet(f"{root}/benchmark.parquet")
