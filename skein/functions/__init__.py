@@ -1 +1 @@
-
+"""Expressions and small numeric helpers."""

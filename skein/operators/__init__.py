@@ -1 +1 @@
-
+"""Operators on notes and graphs."""

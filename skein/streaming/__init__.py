@@ -1 +1 @@
-
+"""Empty: none of the operators here works on a stream."""
