@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import fresh, fresh_path, mix, slices, text_batches, text_key, written
+from .common import SLICE_BYTES, fresh, fresh_path, mix, slices, text_batches, text_key, written
 
 ORDER = 6
 BANDS, NOISE, STEP = (4.0, 4.0), 1.5, 1e-4
@@ -59,6 +59,17 @@ def grams(text: pa.Array, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     return out, n
 
 
+def parts(text: pa.Array, order: int = ORDER, size: int = SLICE_BYTES):
+    """The n-grams of normalised texts, and their number by text; a text alone that's longer than size comes in pieces."""
+    if len(text) != 1 or (data := text[0].as_buffer()).size <= size:
+        yield grams(text, order)
+        return
+    for at in range(0, data.size, size):
+        before = min(at, order - 1)
+        g, n = grams(pa.array([data.slice(at - before, min(size, data.size - at) + before).to_pybytes()]), order)
+        yield g[before:], n - before
+
+
 def by_language(b: pa.RecordBatch):
     """Each language of a batch, with the rows that are in it."""
     lang = pc.fill_null(b.column("lang"), "").dictionary_encode()
@@ -93,14 +104,12 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for b in slices(batch):
                 text = normal(b.column("text"))
                 for lang, rows in by_language(b):
-                    g, _ = grams(text.take(pa.array(rows)), order)
-                    if not len(g):
-                        continue
-                    found = pc.value_counts(pa.array(g.view(np.int64)))
-                    k, c = held.setdefault(lang, ([], []))
-                    k.append(found.field("values").to_numpy().view(np.uint64))
-                    c.append(found.field("counts").to_numpy())
-                    size += len(found)
+                    for g, _ in parts(text.take(pa.array(rows)), order):
+                        found = pc.value_counts(pa.array(g.view(np.int64)))
+                        k, c = held.setdefault(lang, ([], []))
+                        k.append(found.field("values").to_numpy().view(np.uint64))
+                        c.append(found.field("counts").to_numpy())
+                        size += len(found)
                 if size >= HELD:
                     held = {lang: tuple([x] for x in squeeze(*kc)) for lang, kc in held.items()}
                     size = sum(len(k[0]) for k, _ in held.values())
@@ -234,15 +243,13 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
                 text = normal(b.column("text"))
                 size, score = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
                 for lang, rows in by_language(b):
-                    g, n = grams(text.take(pa.array(rows)), order)
-                    size[rows] = n
-                    if not len(g):
-                        continue
-                    found = pa.array(g.view(np.int64)).dictionary_encode()
-                    each = loaded(paths, lang, order).log_p(found.dictionary.to_numpy().view(np.uint64))[found.indices.to_numpy()]
-                    some = n > 0
-                    starts = (np.cumsum(n) - n)[some]
-                    score[rows[some]] = np.round(-np.add.reduceat(each, starts) / n[some], 9)
+                    for g, n in parts(text.take(pa.array(rows)), order):
+                        size[rows] += n
+                        if len(g):
+                            found = pa.array(g.view(np.int64)).dictionary_encode()
+                            each = loaded(paths, lang, order).log_p(found.dictionary.to_numpy().view(np.uint64))[found.indices.to_numpy()]
+                            score[rows[n > 0]] -= np.add.reduceat(each, (np.cumsum(n) - n)[n > 0])
+                score = np.round(score / np.maximum(size, 1), 9)
                 yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pa.array(size), pa.array(score, mask=size == 0)], schema=schema)
 
     return _base(docs).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, score double")

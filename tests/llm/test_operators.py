@@ -278,6 +278,14 @@ def test_perplexity(spark):
     assert perplexity.drop_rejected(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_long_text_in_pieces(size):
+    a = pa.array(["x", "é bcd" * 9]).slice(1)
+    g, n = perplexity.grams(a)
+    p = list(perplexity.parts(a, size=size))
+    assert np.concatenate([x for x, _ in p]).tolist() == g.tolist() and sum(int(m[0]) for _, m in p) == n[0]
+
+
 def test_bands_reject_both_ends(spark):
     r = random.Random(9)
     texts = [prose(r, r.randrange(150, 300)) for _ in range(120)]
