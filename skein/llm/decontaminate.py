@@ -10,9 +10,8 @@ benchmark's seeds go to all tasks in parts of at most PART words; a larger bench
 documents, each as small in memory.
 
 Defined results. An item of fewer than MIN_MATCH words, or a null one, has no tiles and is in no pair; nor is a document
-of so few words, or a null one. Among matches of one length the one
-first in the item, then first in the document, is marked. Repeated rows, of documents or of items, each give their own
-rows, null ids among them. Other columns are ignored.
+of so few words, or a null one. Among matches of one length the one first in the item, then first in the document, is
+marked. Repeated rows, of documents or of items, each give their own rows, null ids among them. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import fresh, mix, ragged, slices, text_batches, text_key, words, written
 from .neardup import word_hashes
 
-MIN_MATCH, COVERAGE = 4, 0.6
+MIN_MATCH, COVERAGE = 4, 0.5
 #: Words of the benchmark that go to all tasks at once: 16 bytes and a seed of 8 for each.
 PART = 1 << 20
 _BASE = np.uint64(0x100000001B3)
