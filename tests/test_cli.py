@@ -23,7 +23,7 @@ def test_parse():
 @pytest.mark.parametrize("line,want", [
     ("orphans", "bridge.md"), ("tasks todo", "do"), ("tags counts", "t  1"), ("unresolved verbose", "lost"), ("search query=LOST", "beta.md"),
     ("links file=alpha", "beta"), ("backlinks file=alpha counts", "beta.md"), ("properties file=alpha", "[x]"), ("property:get file=alpha name=tags", "x"),
-    ("graph degree", "4"), ("graph components", "2"), ("health format=json", '"notes": 4'), ("stub total", "2"), ("read path=shared.md", "[[alpha]]"), ("graph spectrum", "3."),
+    ("graph degree", "4"), ("graph components", "2"), ("health format=json", '"notes": 4'), ("stub total", "2"), ("read path=shared.md", "[[alpha]]"), ("graph spectrum", "2.99"),
 ])
 def test_single(spark, roots, capsys, line, want):
     assert cli.main([*line.split(), f"vault={roots[0]}"], spark) == 0

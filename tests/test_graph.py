@@ -71,7 +71,7 @@ class Plain:
         return sum(b in self.adj[a] for a, b in itertools.combinations(n, 2))
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 12, 9), (2, 14, 22), (3, 20, 60), (4, 30, 31)])
+@pytest.mark.parametrize("seed,n,m", [(1, 12, 9), (2, 14, 22), (4, 30, 31)])
 def test_random_graphs(spark, seed, n, m):
     r = random.Random(seed)
     edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
@@ -128,12 +128,12 @@ def test_both_ways_agree(spark):
     g = make(spark, [(r.randrange(15), r.randrange(15)) for _ in range(30)], range(15))
     v = spark.createDataFrame([(i, i % 2) for i in range(15)], "id bigint, vault_ord int")
     x = stack.layered(v, g.edges)
-    a = stack.layered_spectrum(x, [0.0, 0.5, 2.0], 6, 0).orderBy("step").collect()
-    b = stack.layered_spectrum(x, [0.0, 0.5, 2.0], 6, 0, local_edges=0).orderBy("step").collect()
+    a = stack.layered_spectrum(x, [0.0, 0.5, 2.0], 4, 0).orderBy("step").collect()
+    b = stack.layered_spectrum(x, [0.0, 0.5, 2.0], 4, 0, local_edges=0).orderBy("step").collect()
     for p, q in zip(a, b, strict=True):
         assert p.asDict() == pytest.approx(q.asDict(), abs=1e-9)
-    m = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, 7, 2).orderBy("k").collect()]
-    n = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, 7, 2, local_edges=0).orderBy("k").collect()]
+    m = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, 4, 2).orderBy("k").collect()]
+    n = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, 4, 2, local_edges=0).orderBy("k").collect()]
     assert m == pytest.approx(n, abs=1e-9) and m[0] == pytest.approx(1)
 
 
