@@ -2,7 +2,8 @@
 
 Symbols are the UTF-8 bytes of a text in lower case, outer white space removed and inner white space as single spaces;
 each text begins after ORDER - 1 zero bytes. So an n-gram of ORDER bytes is a 64-bit number, whatever the language, and
-counts are exact. Spark counts all n-grams of all documents; lower orders count distinct extensions (Kneser-Ney), with
+counts are exact. Spark counts all n-grams of all distinct texts of a language, each text once however many documents
+hold it (texts are compared as normalised, by length and a 64-bit hash); lower orders count distinct extensions (Kneser-Ney), with
 three discounts an order and language (Chen and Goodman). The model is one table in the shared folder. A task that
 scores holds, per language, its n-grams and its contexts as two arrays sorted by hash (a bijection of order and n-gram,
 so no two collide), and looks each distinct n-gram of a batch up once. A language of more than MODEL_ROWS entries is
@@ -12,7 +13,8 @@ A document's score is its mean negative log probability a byte. A language's ban
 (upper) widths around its median; a width is the root of the squares of the scaled median absolute deviation and, since
 short texts vary more, of NOISE / sqrt(bytes). What lies outside is rejected: above, it reads unlike the language;
 below, it is monotonous. The model has counted the document itself, too: what occurs nowhere else, such as random letters,
-is foretold by its own counts, and falls out below. Median and deviation come from a histogram of all documents with steps of STEP.
+is foretold by its own counts, and falls out below. Median and deviation come from a histogram of the distinct texts with
+steps of STEP, so no verdict depends on how often a text is repeated.
 
 Defined results. A null lang is treated as an empty one. A text that is null, empty or white space has no score and is
 rejected. Where all deviations of a language are 0, NOISE alone counts. Repeated rows count each. All columns are kept.
@@ -88,8 +90,50 @@ def _base(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("d"), text_key(F.col("text")).alias("k"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
 
 
+def text_hash(text: bytes) -> int:
+    import xxhash
+
+    return int.from_bytes(xxhash.xxh3_64_digest(text), "big", signed=True)
+
+
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """lang, n_bytes, h and body (the normalised text, compressed), a row for each text of a language that isn't empty."""
+
+    def run(batches):
+        import zstandard
+
+        squash = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for b in slices(batch):
+                each = normal(b.column("text")).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("lang"), pa.array([len(t) for t in each], pa.int64()), pa.array([text_hash(t) for t in each], pa.int64()), pa.array([squash.compress(t) for t in each], pa.binary())],
+                    ["lang", "n_bytes", "h", "body"],
+                )
+
+    rows = _base(docs).select("lang", "text").mapInArrow(run, "lang string, n_bytes bigint, h bigint, body binary").filter("n_bytes > 0")
+    return rows.groupBy("lang", "n_bytes", "h").agg(F.first("body").alias("body"))
+
+
+def unpacked(batch: pa.RecordBatch):
+    """lang and text of consecutive rows of a batch with at most SLICE_BYTES of text; a longer text stands alone, whole."""
+    import zstandard
+
+    d = zstandard.ZstdDecompressor()
+    ends = np.cumsum(batch.column("n_bytes").to_numpy())
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        b = batch.slice(start, stop - start)
+        text = pa.array([d.decompress(x).decode() for x in b.column("body").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("lang"), text], ["lang", "text"])
+        pa.default_memory_pool().release_unused()
+        start = stop
+
+
 def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """lang, gram, n over all documents."""
+    """lang, gram, n over all distinct texts."""
 
     def run(batches):
         held: dict[str, tuple[list, list]] = {}
@@ -101,8 +145,8 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]).take(pa.array(np.zeros(len(key), np.int32))), pa.array(key.view(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
         for batch in batches:
-            for b in slices(batch):
-                text = normal(b.column("text"))
+            for b in unpacked(batch):
+                text = b.column("text")
                 for lang, rows in by_language(b):
                     for g, _ in parts(text.take(pa.array(rows)), order):
                         found = pc.value_counts(pa.array(g.view(np.int64)))
@@ -118,7 +162,7 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         held, size = {}, 0
         yield from out()
 
-    return _base(docs).select("lang", "text").mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return distinct_texts(docs).mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def discounted(n: Column) -> Column:
@@ -228,14 +272,14 @@ def loaded(paths: dict[str, str], lang: str, order: int) -> HashArrays:
 
 
 def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """d, k, lang, n_bytes and score of each document; a null score where there are no bytes."""
+    """d, k, lang, n_bytes, h (hash of the normalised text) and score of each document; a null score where there are no bytes."""
     probabilities, contexts = model(docs, order)
     largest = probabilities.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     if largest > model_rows:
         return joined_scores(docs, probabilities, order)
     values = probabilities.withColumnRenamed("logp", "value")
     paths = {"top": stored(values.filter(F.col("order") == order), "model"), "lower": stored(values.filter(F.col("order") < order), "lower"), "contexts": stored(contexts.withColumnRenamed("logb", "value"), "contexts")}
-    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("score", pa.float64())])
+    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("h", pa.int64()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
@@ -250,36 +294,38 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
                             each = loaded(paths, lang, order).log_p(found.dictionary.to_numpy().view(np.uint64))[found.indices.to_numpy()]
                             score[rows[n > 0]] -= np.add.reduceat(each, (np.cumsum(n) - n)[n > 0])
                 score = np.round(score / np.maximum(size, 1), 9)
-                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pa.array(size), pa.array(score, mask=size == 0)], schema=schema)
+                h = pa.array([text_hash(t) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pa.array(size), h, pa.array(score, mask=size == 0)], schema=schema)
 
-    return _base(docs).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, score double")
+    return _base(docs).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, h bigint, score double")
 
 
 def joined_scores(docs: DataFrame, probabilities: DataFrame, order: int) -> DataFrame:
     """The same by a join of each document's distinct n-grams with the table; all of them are in it."""
-    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("h", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         for batch in batches:
             for b in slices(batch):
-                g, n = grams(normal(b.column("text")), order)
+                text = normal(b.column("text"))
+                g, n = grams(text, order)
                 at = np.cumsum(n) - n
                 for i, (start, size) in enumerate(zip(at.tolist(), n.tolist())):
                     key, count = np.unique(g[start : start + size], return_counts=True)
                     m = max(1, len(key))
                     row = b.slice(i, 1).take(pa.array(np.zeros(m, np.int32)))
                     gram, many = (pa.array(key.view(np.int64)), pa.array(count)) if size else (pa.nulls(1, pa.int64()), pa.array([0]))
-                    yield pa.RecordBatch.from_arrays([row.column("d"), row.column("k"), row.column("lang"), pa.array(np.full(m, size)), gram, many], schema=schema)
+                    yield pa.RecordBatch.from_arrays([row.column("d"), row.column("k"), row.column("lang"), pa.array(np.full(m, size)), pa.array(np.full(m, text_hash(text[i].as_buffer().to_pybytes()))), gram, many], schema=schema)
 
     # repeated rows are one here, and are listed again after
     rows = _base(docs)
-    once = rows.dropDuplicates(["d", "k", "lang"]).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, gram bigint, n bigint")
+    once = rows.dropDuplicates(["d", "k", "lang"]).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, h bigint, gram bigint, n bigint")
     top = probabilities.filter(F.col("order") == order).select("lang", "gram", "logp")
-    sums = once.join(top, ["lang", "gram"], "left").groupBy("d", "k", "lang", "n_bytes").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
+    sums = once.join(top, ["lang", "gram"], "left").groupBy("d", "k", "lang", "n_bytes", "h").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
     times = rows.groupBy("d", "k", "lang").agg(F.count(F.lit(1)).alias("times"))
     same = sums["d"].eqNullSafe(times["d"]) & (sums["k"] == times["k"]) & (sums["lang"] == times["lang"])
     all_rows = sums.join(times, same).withColumn("i", F.explode(F.sequence(F.lit(1), "times")))
-    return all_rows.select(sums["d"], sums["k"], sums["lang"], "n_bytes", F.when(F.col("n_bytes") > 0, F.round(-F.col("s") / F.col("n_bytes"), 9)).alias("score"))
+    return all_rows.select(sums["d"], sums["k"], sums["lang"], "n_bytes", "h", F.when(F.col("n_bytes") > 0, F.round(-F.col("s") / F.col("n_bytes"), 9)).alias("score"))
 
 
 def median(values: DataFrame, name: str) -> DataFrame:
@@ -293,13 +339,13 @@ def median(values: DataFrame, name: str) -> DataFrame:
 def judged(docs: DataFrame, order: int = ORDER, bands: tuple[float, float] = BANDS, noise: float = NOISE, model_rows: int = MODEL_ROWS) -> DataFrame:
     """d, k, lang, n_bytes, score, lower, upper, keep for each document."""
     s = written(scores(docs, order, model_rows), "scores")
-    b = s.filter("score is not null").select("lang", F.round(F.col("score") / STEP).cast("bigint").alias("bin"))
+    b = s.filter("score is not null").dropDuplicates(["lang", "n_bytes", "h"]).select("lang", F.round(F.col("score") / STEP).cast("bigint").alias("bin"))
     centre = median(b, "centre")
     spread = median(b.join(F.broadcast(centre), "lang").select("lang", F.abs(F.col("bin") - F.col("centre")).alias("bin")), "spread")
     s = s.join(F.broadcast(centre.join(spread, "lang")), "lang", "left")  # one row a language
     width = F.sqrt(F.pow(F.col("spread") * (STEP * 1.4826), 2) + noise**2 / F.greatest("n_bytes", F.lit(1)))
     s = s.withColumn("lower", F.col("centre") * STEP - bands[0] * width).withColumn("upper", F.col("centre") * STEP + bands[1] * width)
-    return s.withColumn("keep", F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))).drop("centre", "spread")
+    return s.withColumn("keep", F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))).drop("centre", "spread", "h")
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:

@@ -295,6 +295,19 @@ def test_bands_reject_both_ends(spark):
     assert j[120].score < j[120].lower and all(j[i].score > j[i].upper for i in range(121, 127))
 
 
+def test_verdict_of_copies(spark):
+    r = random.Random(11)
+    texts = [prose(r, r.randrange(60, 120)) for _ in range(150)]
+    alone = {x.d: x for x in perplexity.judged(frame(spark, texts)).collect()}
+    assert alone[7].keep
+    for copies in (100, 1000):
+        rows = [*texts, *(texts[7].upper() + " " * (i % 3) for i in range(copies))]
+        for n in (perplexity.MODEL_ROWS, 0):
+            j = {x.d: x for x in perplexity.judged(frame(spark, rows), model_rows=n).collect()}
+            assert all((j[i].score, j[i].lower, j[i].upper, j[i].keep) == (pytest.approx(x.score, abs=1e-8), pytest.approx(x.lower, abs=1e-8), pytest.approx(x.upper, abs=1e-8), x.keep) for i, x in alone.items())
+            assert all(j[i].keep for i in range(len(texts), len(rows)))
+
+
 def test_unseen_grams_back_off(spark):
     p, c = perplexity.model(frame(spark, ["abab abba", "abc"]), 3)
     parts = {"top": p.filter("order = 3").withColumnRenamed("logp", "value"), "lower": p.filter("order < 3").withColumnRenamed("logp", "value"), "contexts": c.withColumnRenamed("logb", "value")}
