@@ -5,7 +5,8 @@ The rating of a licence is 0 (permissive), 1 (weak copyleft), 2 (strong copyleft
 (unknown). "or" leaves the choice, so it takes the lower rating; "and" takes the higher; "with" a known exception makes
 a strong copyleft weak. Several findings in one document hold together, as under "and".
 
-Defined results. Whole texts are searched, without regard to case. A document without any finding, an empty or null
+Defined results. Whole texts are searched, without regard to case; phrases of notices also without regard to line ends,
+comment leaders and the width of white space. "All rights reserved" beside another finding doesn't change the rating. A document without any finding, an empty or null
 text among them, has no row. An expression that can't be parsed is kept as it stands, with rating 4 and malformed true.
 A null doc_id is returned as it is, repeated rows each. Other columns are ignored.
 """
@@ -42,15 +43,32 @@ NOTICES = {
     "creative commons attribution-noncommercial 4.0": "CC-BY-NC-4.0",
     "creative commons attribution-sharealike 4.0": "CC-BY-SA-4.0",
     "creative commons attribution 4.0": "CC-BY-4.0",
+    "all rights reserved": "LicenseRef-All-Rights-Reserved",
+    "proprietary and confidential": "LicenseRef-Proprietary",
+    "confidential and proprietary": "LicenseRef-Proprietary",
 }
+#: Titles and file headers of the GNU licences, by version.
+for _name, _short, _versions in (("general", "GPL", ("2", "3")), ("lesser general", "LGPL", ("2.1", "3")), ("library general", "LGPL", ("2",)), ("affero general", "AGPL", ("3",))):
+    for _v in _versions:
+        _id, _gnu = f"{_short}-{_v if '.' in _v else _v + '.0'}", f"gnu {_name} public license"
+        NOTICES |= {f"{_gnu}{x}{_v}": f"{_id}-only" for x in (" version ", ", version ", " v", " (version ")}
+        for _mark in ",;":
+            NOTICES |= {f"{_gnu} as published by the free software foundation{_mark} either version {_v}": f"{_id}-or-later", f"{_gnu} as published by the free software foundation{_mark} version {_v}": f"{_id}-only"}
+#: Phrases without a version: they name their licence where no other of its family is found.
+BARE = {"gnu lesser general public license": "lgpl-", "gnu affero general public license": "agpl-"}
+#: Reserves what no other finding grants.
+RESERVED = "all rights reserved"
 RATING = {x.lower(): r for r, xs in enumerate((
     "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC Zlib Unlicense CC0-1.0 CC-BY-4.0 0BSD BSL-1.0 Python-2.0",
-    "LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-2.0 EPL-2.0 CDDL-1.0",
+    "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-2.0 EPL-2.0 CDDL-1.0",
     "GPL-2.0-only GPL-2.0-or-later GPL-2.0 GPL-3.0-only GPL-3.0-or-later GPL-3.0 AGPL-3.0-only AGPL-3.0-or-later CC-BY-SA-4.0",
     "CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0",
 )) for x in xs.split()}
 EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "linux-syscall-note", "llvm-exception", "autoconf-exception-3.0", "bison-exception-2.2"}
 UNKNOWN = 4
+#: What starts and ends lines of a comment, once spaces are single.
+_LEADER = re.compile(r"(?m)^(?: ?(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+|!+|>+|\|+|rem\b|dnl\b))+")
+_TRAILER = re.compile(r"(?m)(?<!\*)\*+/? ?$")
 #: Stronger binding first in the language: with, and, or.
 BINDING = {"with": 3, "and": 2, "or": 1}
 SCHEMA = "doc_id bigint, licenses array<string>, expressions array<string>, rating int, malformed boolean, n_findings int"
@@ -120,7 +138,7 @@ def automaton():
         import ahocorasick
 
         _AUTOMATON = ahocorasick.Automaton()
-        for phrase in (TAG, *NOTICES):
+        for phrase in NOTICES:
             _AUTOMATON.add_word(phrase, phrase)
         _AUTOMATON.make_automaton()
     return _AUTOMATON
@@ -133,11 +151,20 @@ def tagged(text: str, at: int) -> str:
     return re.split(r"\*/|-->|#}", line)[0].strip().rstrip(".,;").strip()
 
 
+def flat(low: str) -> str:
+    """A text in one line: comment leaders go, and white space is single spaces."""
+    low = re.sub(r"[^\S\n]+", " ", low)
+    if "\n" in low:
+        low = re.sub(r"\s+", " ", _TRAILER.sub(" ", _LEADER.sub(" ", low)))
+    return low
+
+
 def scan(text: str | None):
     """(licences, expressions, rating, malformed, findings) of a text, or None where it has none."""
     low = (text or "").lower()
-    found = [(end - len(p) + 1, end + 1, p) for end, p in automaton().iter(low)]
-    if not found:
+    found = [(end - len(p) + 1, end + 1, p) for end, p in automaton().iter(flat(low))]
+    tags = [m.end() for m in re.finditer(re.escape(TAG), low)]
+    if not found and not tags:
         return None
     longest, last = [], -1
     for start, end, p in sorted(found, key=lambda x: (x[0], -x[1])):
@@ -145,20 +172,21 @@ def scan(text: str | None):
             longest.append((start, end, p))
             last = end
     names, expressions, rating, malformed = set(), [], 0, False
-    for start, end, p in longest:
-        if p == TAG:
-            expression = tagged(low, end)
-            expressions.append(expression)
-            try:
-                r, xs = evaluate(expression)
-                names |= set(xs)
-            except ValueError:
-                r, malformed = UNKNOWN, True
-        else:
-            names.add(NOTICES[p].lower())
-            r = RATING[NOTICES[p].lower()]
+    for at in tags:
+        expression = tagged(low, at)
+        expressions.append(expression)
+        try:
+            r, xs = evaluate(expression)
+            names |= set(xs)
+        except ValueError:
+            r, malformed = UNKNOWN, True
         rating = max(rating, r)
-    return sorted(names), sorted(set(expressions)), rating, malformed, len(longest)
+    phrases = {p for _, _, p in longest}
+    names |= {NOTICES[p].lower() for p in phrases - BARE.keys()}
+    names |= {NOTICES[p].lower() for p in phrases & BARE.keys() if not any(x.startswith(BARE[p]) for x in names)}
+    alone = not tags and phrases == {RESERVED}
+    rating = max([rating, *(RATING.get(NOTICES[p].lower(), UNKNOWN) for p in phrases if p != RESERVED or alone)])
+    return sorted(names), sorted(set(expressions)), rating, malformed, len(longest) + len(tags)
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:

@@ -420,6 +420,30 @@ def test_bad_expressions(bad):
         licenses.evaluate(bad)
 
 
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. See the GNU General
+ * Public License for more details. */"""
+
+
+@pytest.mark.parametrize("text,names,rating,n", [
+    ("Copyright X.  All Rights\n\tReserved.", ["licenseref-all-rights-reserved"], 4, 1),
+    ("# All rights reserved.\n# Redistribution and use in source and\n# binary forms, with or without", ["bsd-3-clause", "licenseref-all-rights-reserved"], 0, 2),
+    ("Proprietary and confidential", ["licenseref-proprietary"], 4, 1),
+    (GPL_HEADER, ["gpl-3.0-or-later"], 2, 1),
+    (GPL_HEADER.replace("GNU General", "GNU Lesser General").replace("Foundation, either version 3", "Foundation; either version 2.1"), ["lgpl-2.1-or-later"], 1, 2),
+    (GPL_HEADER.replace("GNU General", "GNU Affero General"), ["agpl-3.0-or-later"], 2, 2),
+    ("        GNU GENERAL PUBLIC LICENSE\n           Version 2, June 1991", ["gpl-2.0-only"], 2, 1),
+    ("GNU AFFERO GENERAL PUBLIC LICENSE\n  Version 3, 19 November 2007", ["agpl-3.0-only"], 2, 1),
+    ("// Licensed under the Apache License, **\n// Version 2.0\n// SPDX-License-Identifier: MIT\n// or later", ["apache-2.0", "mit"], 0, 2),
+])
+def test_notices_over_lines(text, names, rating, n):
+    got = licenses.scan(text)
+    assert (got[0], got[2], got[4]) == (names, rating, n)
+
+
 def test_license_scan(spark):
     long = "word " * 300_000
     texts = [None, "", "nothing", long + "SPDX-License-Identifier: MIT", "// spdx-license-identifier: GPL-2.0-only OR */ x", "licensed under CC BY-SA 4.0 and more", "Released under the MIT License. released under the mit license"]
