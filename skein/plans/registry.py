@@ -360,6 +360,42 @@ def spectral_peaks(spark, d):
     return series.peaks(moments_dos(spark, d), 0.5).select("bin", F.round("rho", 6).alias("rho"), F.round("z", 6).alias("z"))
 
 
+# The queries above run fewer steps than the operators' defaults, so that their SQL stays cheap; these run the defaults.
+
+
+@query()
+def spectral_spectrum_default(spark, d):
+    """With the default 120 steps and tolerance."""
+    g = C.part_supplier(spark, d)
+    return spectral.spectrum(g.vertices, g.edges)
+
+
+@query()
+def spectral_layered_sweep_default(spark, d):
+    """With the default 200 steps and tolerance."""
+    return stack.layered_spectrum(C.customer_supplier(spark, d), series.parse_sweep("0,2,5"))
+
+
+@query()
+def spectral_sublattice_sweep_default(spark, d):
+    """With the default 200 steps and tolerance."""
+    return stack.sublattice_spectrum(C.customer_supplier(spark, d), series.parse_sweep("0.5,1.5,3"))
+
+
+@query()
+def spectral_kpm_moments_default(spark, d):
+    """With the default 200 moments and 8 probes."""
+    g, top = bounded(spark, d)
+    return spectral.kpm_moments(g.vertices, g.edges, top)
+
+
+@query()
+def spectral_peaks_default(spark, d):
+    """Of the default density of states."""
+    g = C.part_supplier(spark, d)
+    return series.peaks(spectral.density_of_states(g.vertices, g.edges))
+
+
 @query()
 def spectral_dos_default(spark, d):
     """With the default 200 moments, 8 probes and a largest eigenvalue found by iteration to a tolerance."""
