@@ -34,10 +34,10 @@ def dedup_lines(rows):
     gone = defaultdict(set)
     for i in order:
         lines = [(n, t.strip(" ")) for n, t in enumerate((rows[i][1] or "").split("\n")) if t.strip(" ")]
-        for a in range(len(lines) - 2):
+        for a in range(max(len(lines) - 2, min(1, len(lines)))):
             w = tuple(t for _, t in lines[a : a + 3])
             if w in seen and seen[w] != (rows[i][0], lines[a][0]):
-                gone[i] |= set(range(lines[a][0], lines[a + 2][0] + 1))
+                gone[i] |= set(range(lines[a][0], lines[min(a + 2, len(lines) - 1)][0] + 1))
             else:
                 seen[w] = (rows[i][0], lines[a][0])
     for i, (_, text) in enumerate(rows):
@@ -85,6 +85,26 @@ class KneserNey:
         b = bytes(self.order - 1) + text
         return -sum(math.log(self.p(b[i - self.order + 1 : i + 1])) for i in range(self.order - 1, len(b))) / len(text)
 
+    def held(self, text):
+        """The score where the text's own occurrences are taken out."""
+        b = bytes(self.order - 1) + text
+        each = [b[i - self.order + 1 : i + 1] for i in range(self.order - 1, len(b))]
+        own, used = {self.order: Counter(each)}, {}
+        for k in range(self.order, 0, -1):
+            used[k] = Counter()
+            for g, n in own[k].items():
+                used[k][g[:-1]] += n
+            own[k - 1] = Counter(g[1:] for g, n in own[k].items() if self.levels[k][g] == n)
+        total = 0.0
+        for g in each:
+            while g and self.levels[len(g)][g] == own[len(g)][g]:
+                key = len(g), g[:-1]
+                if self.total[key] > used[len(g)][g[:-1]]:
+                    total += math.log(self.cuts[key] / self.total[key]) if self.cuts[key] else -99.0
+                g = g[1:]
+            total += math.log(self.p(g))
+        return -total / len(text)
+
 
 def lcs(a, b):
     d = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
