@@ -4,20 +4,26 @@ Symbols are the UTF-8 bytes of a text in lower case, outer white space removed a
 each text begins after ORDER - 1 zero bytes. So an n-gram of ORDER bytes is a 64-bit number, whatever the language, and
 counts are exact. Spark counts all n-grams of all distinct texts of a language, each text once however many documents
 hold it (texts are compared as normalised, by length and a 64-bit hash); lower orders count distinct extensions (Kneser-Ney), with
-three discounts an order and language (Chen and Goodman). The model is one table in the shared folder. A task that
-scores holds, per language, its n-grams and its contexts as two arrays sorted by hash (a bijection of order and n-gram,
-so no two collide), and looks each distinct n-gram of a batch up once. A language of more than MODEL_ROWS entries is
-scored by joins with the table instead.
-
-A document's score is its mean negative log probability a byte. A language's bands lie BANDS[0] (lower) and BANDS[1]
-(upper) widths around its median; a width is the root of the squares of the scaled median absolute deviation and, since
-short texts vary more, of NOISE / sqrt(bytes). What lies outside is rejected: above, it reads unlike the language;
-below, it is monotonous. The model has counted the document itself, too: what occurs nowhere else, such as random letters,
-is foretold by its own counts, and falls out below. Median and deviation come from a histogram of the distinct texts with
-steps of STEP, so no verdict depends on how often a text is repeated.
+three discounts an order and language (Chen and Goodman). The model is one table in the shared folder, n-grams of all
+orders with count, log probability, and total and back-off weight of their context. A task that scores holds a
+language's rows as arrays sorted by hash (a bijection of order and n-gram, so no two collide), and looks each distinct
+n-gram of a batch up once. Of a language of more than MODEL_ROWS rows it holds only those that its own chunk of the texts
+needs: each chunk's distinct n-grams are joined with the table, and what they may back off to, order by order.
+
+A text has two scores, mean negative log probabilities a byte. The first is under the model as it is. The second is held
+out: the text's own occurrences are taken from the counts, an n-gram that is left without any counts as unseen, and backs
+off with its context's weight where other texts have that context; shorter n-grams lose what such n-grams had added to
+them. Others keep the model's probability.
+
+A language's lower band lies BANDS[0] widths below the median of the first score, its upper band BANDS[1] widths above
+the median of the held-out one; a width is the root of the squares of the scaled median absolute deviation and, since
+short texts vary more, of NOISE / sqrt(bytes). What lies outside is rejected: above, it reads unlike the language; below,
+it is monotonous, or, like long random letters, foretold by its own counts alone. Median and deviation come from
+histograms of the distinct texts with steps of STEP, so no verdict depends on how often a text is repeated.
 
 Defined results. A null lang is treated as an empty one. A text that is null, empty or white space has no score and is
-rejected. Where all deviations of a language are 0, NOISE alone counts. Repeated rows count each. All columns are kept.
+rejected. Where all deviations of a language are 0, NOISE alone counts. Repeated rows count each; ids may be of any type.
+All columns are kept.
 """
 
 from __future__ import annotations
@@ -31,11 +37,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SLICE_BYTES, fresh, fresh_path, mix, slices, text_batches, text_key, written
+from .common import SLICE_BYTES, SLICE_ROWS, fresh, fresh_path, key, key_type, mix, slices, text_key, written
 
 ORDER = 6
-BANDS, NOISE, STEP = (4.0, 4.0), 1.5, 1e-4
-MODEL_ROWS = 48 << 20
+BANDS, NOISE, STEP = (2.0, 2.8), 2.5, 1e-4
+#: Rows of a language's model that a worker holds at most, 32 bytes each.
+MODEL_ROWS = 8 << 20
+#: Bytes of the texts that are scored together where a model is larger.
+CHUNK = 32 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
 HELD = 3 << 19
 
@@ -86,8 +95,7 @@ def squeeze(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _base(docs: DataFrame) -> DataFrame:
-    text_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("bigint").alias("d"), text_key(F.col("text")).alias("k"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
+    return docs.select(key(docs, "doc_id", "d"), text_key(F.col("text")).alias("k"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), "text")
 
 
 def text_hash(text: bytes) -> int:
@@ -124,7 +132,7 @@ def unpacked(batch: pa.RecordBatch):
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
         b = batch.slice(start, stop - start)
         text = pa.array([d.decompress(x).decode() for x in b.column("body").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([b.column("lang"), text], ["lang", "text"])
@@ -169,30 +177,29 @@ def discounted(n: Column) -> Column:
     return F.when(n == 1, F.col("d1")).when(n == 2, F.col("d2")).otherwise(F.col("d3"))
 
 
-def model(docs: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(n-grams: lang, gram, order, logp; contexts: lang, gram, order, logb), each written once."""
+def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """lang, order, gram, n, logp, and total and logb (log of the back-off weight) of its context."""
     levels = {order: written(counted(docs, order), f"grams{order}")}
     for k in range(order - 1, 0, -1):
         levels[k] = written(levels[k + 1].groupBy("lang", F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), f"grams{k}")
-    probabilities, contexts, lower = [], [], None
+    out, lower = [], None
     for k in range(1, order + 1):
         t = levels[k]
         of = [F.count_if(F.col("n") == i).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)]
         y = F.when(F.col("c1") > 0, F.col("c1") / (F.col("c1") + 2 * F.col("c2"))).otherwise(0.0)
         ds = [F.when(F.col(f"c{i}") > 0, F.greatest(F.lit(0.0), i - (i + 1) * y * F.col(f"c{i + 1}") / F.col(f"c{i}"))).otherwise(0.0).alias(f"d{i}") for i in (1, 2, 3)]
-        t = t.join(F.broadcast(t.groupBy("lang").agg(*of).select("lang", *ds)), "lang")  # one row a language
+        t = t.join(t.groupBy("lang").agg(*of).select("lang", *ds), "lang")
         t = t.select("lang", "gram", F.shiftright("gram", 8).alias("context"), "n", discounted(F.col("n")).alias("cut"))
         c = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("cut").alias("cuts"))
-        c = written(c.select("lang", "context", "total", (F.col("cuts") / F.col("total")).alias("share")), f"contexts{k}")
-        t = t.join(c, ["lang", "context"])
+        t = t.join(c.select("lang", "context", "total", (F.col("cuts") / F.col("total")).alias("share")), ["lang", "context"])
         low = F.lit(1 / 256)
         if lower is not None:
             t = t.withColumn("tail", F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1))).join(lower.select("lang", F.col("gram").alias("tail"), F.col("p").alias("low")), ["lang", "tail"])
             low = F.col("low")
-        lower = written(t.select("lang", "gram", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("share") * low).alias("p")), f"p{k}")
-        probabilities.append(lower.select("lang", "gram", F.lit(k).alias("order"), F.ln("p").alias("logp")))
-        contexts.append(c.select("lang", F.col("context").alias("gram"), F.lit(k).alias("order"), F.when(F.col("share") > 0, F.ln("share")).otherwise(-99.0).alias("logb")))
-    return reduce(DataFrame.union, probabilities), reduce(DataFrame.union, contexts)
+        lower = written(t.select("lang", "gram", "n", ((F.col("n") - F.col("cut")) / F.col("total") + F.col("share") * low).alias("p"), "total", "share"), f"p{k}")
+        logb = F.when(F.col("share") > 0, F.ln("share")).otherwise(-99.0)
+        out.append(lower.select("lang", F.lit(k).alias("order"), "gram", "n", F.ln("p").alias("logp"), "total", logb.alias("logb")))
+    return reduce(DataFrame.union, out)
 
 
 def stored(df: DataFrame, name: str) -> str:
@@ -202,130 +209,168 @@ def stored(df: DataFrame, name: str) -> str:
     return path
 
 
-class HashArrays:
-    """One language's model: n-grams and contexts, each an array of hashes in order and an array of values.
+def pairs(text: pa.Array, order: int, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, n-gram and number of occurrences of each n-gram of each text, sorted; and bytes by text. At most 2 ** 16 texts."""
+    if len(text) == 1:  # it may be long
+        found = [(*np.unique(g, return_counts=True), int(n[0])) for g, n in parts(text, order, size)]
+        gram, own = squeeze([x[0] for x in found], [x[1] for x in found])
+        return np.zeros(len(gram), np.int64), gram, own, np.array([sum(x[2] for x in found)])
+    g, n = grams(text, order)
+    both, own = np.unique(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(48) | g, return_counts=True)
+    return (both >> np.uint64(48)).astype(np.int64), both & _LOW, own, n
 
-    Lower orders are only read when an n-gram of the highest order is missed.
-    """
 
-    def __init__(self, order: int, read):
-        self.order, self.read = order, read
-        self.top = self.sorted(read("top"))
-        self.lower = self.contexts = None
+_LOW = np.uint64((1 << 48) - 1)
 
-    @staticmethod
-    def key(gram: np.ndarray, order) -> np.ndarray:
-        return mix(gram | np.asarray(order, np.uint64) << np.uint64(56))
 
-    @classmethod
-    def sorted(cls, t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        h = cls.key(t.column("gram").to_numpy().view(np.uint64), t.column("order").to_numpy())
+class HashArrays:
+    """Rows of one language's model as arrays: hashes in order, and n, logp, total and logb."""
+
+    def __init__(self, order: int, t: pa.Table):
+        self.order = order
+        h = self.key(t.column("gram").to_numpy().view(np.uint64), t.column("order").to_numpy())
         at = np.argsort(h)
-        return h[at], t.column("value").to_numpy()[at]
+        most = np.iinfo(np.int32).max  # counts are only compared with those of one text
+        self.keys = h[at]
+        self.n, self.total = (np.minimum(t.column(c).to_numpy(), most).astype(np.int32)[at] for c in ("n", "total"))
+        self.logp, self.logb = (t.column(c).to_numpy()[at] for c in ("logp", "logb"))
 
     @staticmethod
-    def find(keys: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = np.minimum(np.searchsorted(keys, h), max(0, len(keys) - 1))
-        return (keys[at] == h if len(keys) else np.zeros(len(h), bool)), at
+    def key(gram: np.ndarray, order) -> np.ndarray:
+        return mix(gram | np.asarray(order, np.uint64) << np.uint64(56))
 
-    def log_p(self, gram: np.ndarray) -> np.ndarray:
-        """Natural log probability of each n-gram's last byte after the others; unseen ones back off."""
-        out, rest = np.zeros(len(gram)), np.arange(len(gram))
+    def find(self, gram: np.ndarray, k: int) -> np.ndarray:
+        """Places of n-grams of order k, each of which the model has."""
+        found = pa.array(gram.view(np.int64)).dictionary_encode()
+        h = self.key(found.dictionary.to_numpy().view(np.uint64), k)
+        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        if len(h) and (not len(self.keys) or (self.keys[at] != h).any()):
+            raise ValueError("the model lacks an n-gram of a text that it should have counted")
+        return at[found.indices.to_numpy()]
+
+    def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of each normalised text, and its two scores (0 where there are no bytes)."""
+        row, gram, own, size = pairs(text, self.order)
+        m, weight = len(text), own.astype(float)
+        score, held = np.zeros(m), np.zeros(m)
         for k in range(self.order, 0, -1):
-            keys, values = self.top if k == self.order else self.lower
-            g = gram[rest] & np.uint64((1 << 8 * k) - 1)
-            hit, at = self.find(keys, self.key(g, k))
-            out[rest[hit]] += values[at[hit]]
-            rest, g = rest[~hit], g[~hit]
-            if not len(rest):
-                return out
-            if self.lower is None:
-                self.lower, self.contexts = self.sorted(self.read("lower")), self.sorted(self.read("contexts"))
-            hit, at = self.find(self.contexts[0], self.key(g >> np.uint64(8), k))
-            out[rest[hit]] += self.contexts[1][at[hit]]
-        out[rest] += np.log(1 / 256)
-        return out
+            if not len(gram):
+                break
+            at = self.find(gram, k)
+            if k == self.order:
+                score += np.bincount(row, weight * self.logp[at], m)
+            left = self.n[at] <= own
+            held += np.bincount(row[~left], weight[~left] * self.logp[at[~left]], m)
+            # how much of each context's total is the text's own
+            context = gram >> np.uint64(8)
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (context[1:] != context[:-1]))))
+            ours = np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(row))))
+            other = left & (self.total[at] > ours)
+            held += np.bincount(row[other], weight[other] * self.logb[at[other]], m)
+            shorter = row[left].astype(np.uint64) << np.uint64(48) | gram[left] & np.uint64((1 << 8 * (k - 1)) - 1)
+            both, back, own = np.unique(shorter, return_inverse=True, return_counts=True)
+            weight = np.bincount(back, weight[left], len(both))
+            row, gram = (both >> np.uint64(48)).astype(np.int64), both & _LOW
+        if len(row):
+            held += np.bincount(row, weight, m) * np.log(1 / 256)
+        bytes_ = np.maximum(size, 1)
+        return size, np.round(-score / bytes_, 9), np.round(-held / bytes_, 9)
 
 
 _MODELS: dict[tuple[str, str], HashArrays] = {}
 
 
-def loaded(paths: dict[str, str], lang: str, order: int) -> HashArrays:
-    """The model of a language; a worker holds models of at most MODEL_ROWS entries of the highest order together."""
+def loaded(path: str, lang: str, order: int) -> HashArrays:
+    """The model of a language; a worker holds models of at most MODEL_ROWS rows together."""
     import pyarrow.parquet as pq
     from pyarrow.fs import FileSystem
 
-    def read(part: str) -> pa.Table:
-        fs, at = FileSystem.from_uri(paths[part] if "://" in paths[part] else f"file://{paths[part]}")
-        return pq.read_table(at, columns=["gram", "order", "value"], filesystem=fs, filters=[("lang", "=", lang)], partitioning=None)
-
-    key = paths["top"], lang
+    key = path, lang
     if key not in _MODELS:
-        for other in [k for k in _MODELS if k[0] != paths["top"]]:
+        for other in [k for k in _MODELS if k[0] != path]:
             del _MODELS[other]
-        made = HashArrays(order, read)
-        while _MODELS and sum(len(m.top[0]) for m in _MODELS.values()) + len(made.top[0]) > MODEL_ROWS:
+        fs, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
+        made = HashArrays(order, pq.read_table(at, columns=["gram", "order", "n", "logp", "total", "logb"], filesystem=fs, filters=[("lang", "=", lang)], partitioning=None))
+        while _MODELS and sum(len(m.keys) for m in _MODELS.values()) + len(made.keys) > MODEL_ROWS:
             del _MODELS[next(iter(_MODELS))]
         _MODELS[key] = made
         pa.default_memory_pool().release_unused()
     return _MODELS[key]
 
 
+_SCORED = ", lang string, n_bytes bigint, h bigint"
+
+
 def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """d, k, lang, n_bytes, h (hash of the normalised text) and score of each document; a null score where there are no bytes."""
-    probabilities, contexts = model(docs, order)
-    largest = probabilities.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
+    """d, k, lang, n_bytes, h (hash of the normalised text), score and held of each document; null scores where there are no bytes."""
+    table = model(docs, order)
+    base, first = _base(docs), f"d {key_type(docs, 'doc_id')}, k bigint"
+    largest = table.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
     if largest > model_rows:
-        return joined_scores(docs, probabilities, order)
-    values = probabilities.withColumnRenamed("logp", "value")
-    paths = {"top": stored(values.filter(F.col("order") == order), "model"), "lower": stored(values.filter(F.col("order") < order), "lower"), "contexts": stored(contexts.withColumnRenamed("logb", "value"), "contexts")}
-    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("h", pa.int64()), ("score", pa.float64())])
+        def named(batches):
+            for batch in batches:
+                for b in slices(batch):
+                    text = normal(b.column("text")).cast(pa.binary())
+                    h = pa.array([text_hash(t) for t in text.to_pylist()], pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pc.binary_length(text).cast(pa.int64()), h], ["d", "k", "lang", "n_bytes", "h"])
+
+        return base.mapInArrow(named, first + _SCORED).join(chunked_scores(docs, table, order), ["lang", "n_bytes", "h"], "left").select("d", "k", "lang", "n_bytes", "h", "score", "held")
+    path = stored(table, "model")
 
     def run(batches):
         for batch in batches:
             for b in slices(batch):
                 text = normal(b.column("text"))
-                size, score = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+                size, score, held = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)
                 for lang, rows in by_language(b):
-                    for g, n in parts(text.take(pa.array(rows)), order):
-                        size[rows] += n
-                        if len(g):
-                            found = pa.array(g.view(np.int64)).dictionary_encode()
-                            each = loaded(paths, lang, order).log_p(found.dictionary.to_numpy().view(np.uint64))[found.indices.to_numpy()]
-                            score[rows[n > 0]] -= np.add.reduceat(each, (np.cumsum(n) - n)[n > 0])
-                score = np.round(score / np.maximum(size, 1), 9)
+                    own = text.take(pa.array(rows))
+                    if pc.sum(pc.binary_length(own)).as_py():
+                        size[rows], score[rows], held[rows] = loaded(path, lang, order).score(own)
                 h = pa.array([text_hash(t) for t in text.cast(pa.binary()).to_pylist()], pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pa.array(size), h, pa.array(score, mask=size == 0)], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pa.array(size), h, pa.array(score, mask=size == 0), pa.array(held, mask=size == 0)], ["d", "k", "lang", "n_bytes", "h", "score", "held"])
 
-    return _base(docs).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, h bigint, score double")
+    return base.mapInArrow(run, first + _SCORED + ", score double, held double")
 
 
-def joined_scores(docs: DataFrame, probabilities: DataFrame, order: int) -> DataFrame:
-    """The same by a join of each document's distinct n-grams with the table; all of them are in it."""
-    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("lang", pa.string()), ("n_bytes", pa.int64()), ("h", pa.int64()), ("gram", pa.int64()), ("n", pa.int64())])
+def chunked_scores(docs: DataFrame, table: DataFrame, order: int, chunk: int = CHUNK) -> DataFrame:
+    """lang, n_bytes, h, score and held of the distinct texts. A task has one chunk of a language's texts, and of the model what these need."""
+    texts = written(distinct_texts(docs), "texts")
+    chunks = max(1, -(-(texts.agg(F.sum("n_bytes")).first()[0] or 0) // chunk))
+    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("h", "n_bytes"), F.lit(chunks)))
 
-    def run(batches):
-        for batch in batches:
-            for b in slices(batch):
-                text = normal(b.column("text"))
-                g, n = grams(text, order)
-                at = np.cumsum(n) - n
-                for i, (start, size) in enumerate(zip(at.tolist(), n.tolist())):
-                    key, count = np.unique(g[start : start + size], return_counts=True)
-                    m = max(1, len(key))
-                    row = b.slice(i, 1).take(pa.array(np.zeros(m, np.int32)))
-                    gram, many = (pa.array(key.view(np.int64)), pa.array(count)) if size else (pa.nulls(1, pa.int64()), pa.array([0]))
-                    yield pa.RecordBatch.from_arrays([row.column("d"), row.column("k"), row.column("lang"), pa.array(np.full(m, size)), pa.array(np.full(m, text_hash(text[i].as_buffer().to_pybytes()))), gram, many], schema=schema)
-
-    # repeated rows are one here, and are listed again after
-    rows = _base(docs)
-    once = rows.dropDuplicates(["d", "k", "lang"]).mapInArrow(run, "d bigint, k bigint, lang string, n_bytes bigint, h bigint, gram bigint, n bigint")
-    top = probabilities.filter(F.col("order") == order).select("lang", "gram", "logp")
-    sums = once.join(top, ["lang", "gram"], "left").groupBy("d", "k", "lang", "n_bytes", "h").agg(F.sum(F.col("n") * F.col("logp")).alias("s"))
-    times = rows.groupBy("d", "k", "lang").agg(F.count(F.lit(1)).alias("times"))
-    same = sums["d"].eqNullSafe(times["d"]) & (sums["k"] == times["k"]) & (sums["lang"] == times["lang"])
-    all_rows = sums.join(times, same).withColumn("i", F.explode(F.sequence(F.lit(1), "times")))
-    return all_rows.select(sums["d"], sums["k"], sums["lang"], "n_bytes", "h", F.when(F.col("n_bytes") > 0, F.round(-F.col("s") / F.col("n_bytes"), 9)).alias("score"))
+    def asked(t: pa.Table) -> pa.Table:
+        """The distinct n-grams of a chunk, and how often one text has each at most."""
+        gram, most = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for batch in t.to_batches():
+            for b in unpacked(batch):
+                _, g, own, _ = pairs(b.column("text"), order)
+                g, own = np.concatenate((gram, g)), np.concatenate((most, own))
+                at = np.argsort(g, kind="stable")
+                first = np.flatnonzero(np.diff(g[at], prepend=~g[at[:1]]))
+                gram, most = g[at[first]], np.maximum.reduceat(own[at], first)
+        same = pa.array(np.zeros(len(gram), np.int32))
+        return pa.table({"lang": t.column("lang").take(same), "chunk": t.column("chunk").take(same), "gram": pa.array(gram.view(np.int64)), "most": pa.array(most)})
+
+    wanted, got = texts.groupBy("lang", "chunk").applyInArrow(asked, "lang string, chunk bigint, gram bigint, most bigint"), []
+    for k in range(order, 0, -1):
+        got.append(written(wanted.join(table.filter(F.col("order") == k), ["lang", "gram"]), f"needed{k}"))
+        # a text may lack other occurrences of these, and then goes on to shorter ones
+        shorter = F.col("gram").bitwiseAND(F.lit((1 << 8 * (k - 1)) - 1)).alias("gram")
+        wanted = got[-1].filter("n <= most").groupBy("lang", "chunk", shorter).agg(F.count(F.lit(1)).alias("most"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        m, out = HashArrays(order, right), []
+        for batch in left.to_batches():
+            size = 0
+            for b in unpacked(batch):
+                _, score, held = m.score(b.column("text"))
+                own = batch.slice(size, b.num_rows)
+                size += b.num_rows
+                out.append(pa.table({"lang": own.column("lang"), "n_bytes": own.column("n_bytes"), "h": own.column("h"), "score": score, "held": held}))
+        return pa.concat_tables(out) if out else left.select(["lang", "n_bytes", "h"]).append_column("score", pa.array([], pa.float64())).append_column("held", pa.array([], pa.float64()))
+
+    needed = reduce(DataFrame.union, got)
+    return texts.groupBy("lang", "chunk").cogroup(needed.groupBy("lang", "chunk")).applyInArrow(run, "lang string, n_bytes bigint, h bigint, score double, held double")
 
 
 def median(values: DataFrame, name: str) -> DataFrame:
@@ -337,21 +382,25 @@ def median(values: DataFrame, name: str) -> DataFrame:
 
 
 def judged(docs: DataFrame, order: int = ORDER, bands: tuple[float, float] = BANDS, noise: float = NOISE, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """d, k, lang, n_bytes, score, lower, upper, keep for each document."""
+    """d, k, lang, n_bytes, score, held, lower (band of score), upper (band of held), keep for each document."""
     s = written(scores(docs, order, model_rows), "scores")
-    b = s.filter("score is not null").dropDuplicates(["lang", "n_bytes", "h"]).select("lang", F.round(F.col("score") / STEP).cast("bigint").alias("bin"))
-    centre = median(b, "centre")
-    spread = median(b.join(F.broadcast(centre), "lang").select("lang", F.abs(F.col("bin") - F.col("centre")).alias("bin")), "spread")
-    s = s.join(F.broadcast(centre.join(spread, "lang")), "lang", "left")  # one row a language
-    width = F.sqrt(F.pow(F.col("spread") * (STEP * 1.4826), 2) + noise**2 / F.greatest("n_bytes", F.lit(1)))
-    s = s.withColumn("lower", F.col("centre") * STEP - bands[0] * width).withColumn("upper", F.col("centre") * STEP + bands[1] * width)
-    return s.withColumn("keep", F.coalesce(F.col("score").between(F.col("lower"), F.col("upper")), F.lit(False))).drop("centre", "spread", "h")
+    each = s.filter("score is not null").dropDuplicates(["lang", "n_bytes", "h"])
+    each = written(each.select("lang", *(F.round(F.col(c) / STEP).cast("bigint").alias(c) for c in ("score", "held"))), "bins")
+    out = s
+    for c, name, by in (("score", "lower", -bands[0]), ("held", "upper", bands[1])):
+        b = each.select("lang", F.col(c).alias("bin"))
+        centre = median(b, "centre")
+        spread = median(b.join(centre, "lang").select("lang", F.abs(F.col("bin") - F.col("centre")).alias("bin")), "spread")
+        width = F.sqrt(F.pow(F.col("spread") * (STEP * 1.4826), 2) + noise**2 / F.greatest("n_bytes", F.lit(1)))
+        out = out.join(centre.join(spread, "lang"), "lang", "left").withColumn(name, F.col("centre") * STEP + by * width).drop("centre", "spread")
+    keep = F.coalesce((F.col("score") >= F.col("lower")) & (F.col("held") <= F.col("upper")), F.lit(False))
+    return out.withColumn("keep", keep).select("d", "k", "lang", "n_bytes", "score", "held", "lower", "upper", "keep")
 
 
 def accepted(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, lang, n_bytes, perplexity (a byte) and its bands for each document that is kept."""
+    """doc_id, lang, n_bytes, perplexity (a byte) and held-out perplexity with their bands for each document that is kept."""
     j = judged(docs, **options).filter("keep")
-    return j.select(F.col("d").alias("doc_id"), "lang", "n_bytes", F.exp("score").alias("perplexity"), F.exp("lower").alias("lower_band"), F.exp("upper").alias("upper_band"))
+    return j.select(F.col("d").alias("doc_id"), "lang", "n_bytes", F.exp("score").alias("perplexity"), F.exp("held").alias("held_out"), F.exp("lower").alias("lower_band"), F.exp("upper").alias("upper_band"))
 
 
 def drop_rejected(docs: DataFrame, **options) -> DataFrame:
@@ -359,5 +408,5 @@ def drop_rejected(docs: DataFrame, **options) -> DataFrame:
     d, k, m, l, g = (fresh(docs, x) for x in ("qr_d", "qr_k", "qr_m", "qr_l", "qr_g"))
     gone = written(judged(docs, **options).filter("not keep").select("d", "k", "lang").distinct(), "rejected").toDF(d, m, l)
     x = docs.withColumn(k, text_key(F.col("text"))).withColumn(g, F.coalesce(F.col("lang").cast("string"), F.lit("")))
-    x = x.join(gone.hint("shuffle_hash"), x["doc_id"].cast("bigint").eqNullSafe(gone[d]) & (x[k] == gone[m]) & (x[g] == gone[l]), "left_anti")
+    x = x.join(gone.hint("shuffle_hash"), x["doc_id"].cast(key_type(docs, "doc_id")).eqNullSafe(gone[d]) & (x[k] == gone[m]) & (x[g] == gone[l]), "left_anti")
     return x.select(*(f"`{c}`" for c in docs.columns))
