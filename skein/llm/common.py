@@ -7,22 +7,53 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from ..sources.shared import fresh_path, shared_dir, written  # noqa: F401
 
-#: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
+#: Bytes of text that one vectorised step works on; bounds a Python worker's memory. Spark itself bounds the bytes of a batch.
 SLICE_BYTES = 4 << 20
+SLICE_ROWS = 1 << 15
 
 
-#: Rows that Spark hands to a Python worker at once. Its default of 10,000 is meant for narrow rows.
-BATCH_ROWS = 1000
+def key_type(df: DataFrame, column: str) -> str:
+    """The type in which an id travels: whole numbers as bigint, strings and any others as they are."""
+    kind = df.select(column).schema[0].dataType
+    return "bigint" if isinstance(kind, (T.IntegralType, T.NullType)) else kind.simpleString()
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Smaller batches for rows of whole texts, unless the session has its own size."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(BATCH_ROWS))
+def key(df: DataFrame, column: str, name: str) -> Column:
+    """An id column in the type in which it travels."""
+    return F.col(column).cast(key_type(df, column)).alias(name)
+
+
+#: Tasks of one step at most; beyond that each gets more rows.
+MOST_TASKS = 50_000
+
+
+def spread(df: DataFrame, rows: int, of: int, *columns: str) -> DataFrame:
+    """df in tasks of about `of` of its rows, for steps whose work follows the rows and not the bytes."""
+    return df.repartition(min(MOST_TASKS, max(1, -(-rows // of))), *columns)
+
+
+def running(df: DataFrame, group: str, order: list[str], amount: str, name: str) -> DataFrame:
+    """df with the sum of amount over the rows of its group before each, in order.
+
+    Rows are sorted in ranges that cut large groups, too; what a range adds to the next is one row a range. df should be a
+    written table: its ranges are found in a pass of their own.
+    """
+    part, inner, before = (fresh(df, x) for x in ("rg_part", "rg_inner", "rg_before"))
+    r = written(df.repartitionByRange(group, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    w = W.partitionBy(part, group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # of a range's groups only the first can have begun before it, and only the last can go on: two rows a range
+    ends = r.groupBy(F.col(part).alias("p")).agg(F.min(F.struct(group)).alias("lo"), F.max(F.struct(group)).alias("hi"))
+    ends = ends.select("p", F.explode(F.array_distinct(F.array(F.col(f"lo.{group}"), F.col(f"hi.{group}")))).alias("g"))
+    same = (F.col(part) == F.col("p")) & F.col(group).eqNullSafe(F.col("g"))
+    total = r.join(F.broadcast(ends), same).groupBy("p", "g").agg(F.sum(amount).alias(inner))
+    carried = total.select("p", "g", F.sum(inner).over(W.partitionBy("g").orderBy("p").rowsBetween(W.unboundedPreceding, -1)).alias(before))
+    out = r.join(F.broadcast(carried), same, "left")
+    return out.select(*df.columns, (F.coalesce(F.sum(amount).over(w), F.lit(0)) + F.coalesce(before, F.lit(0))).alias(name))
 
 
 def fresh(df: DataFrame, base: str) -> str:
@@ -46,7 +77,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = SLICE_BYTES)
     length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     total, start = 0, 0
     for i, k in enumerate(length.tolist()):
-        if i > start and total + k > size:
+        if i > start and (total + k > size or i - start == SLICE_ROWS):
             yield batch.slice(start, i - start)
             pa.default_memory_pool().release_unused()
             start, total = i, 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import key, key_type
 
 TAG = "spdx-license-identifier:"
 #: Phrases of notices, and the identifier each stands for. Of overlapping phrases the longest counts.
@@ -71,7 +71,7 @@ _LEADER = re.compile(r"(?m)^(?: ?(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+|!+|>+|\|+|r
 _TRAILER = re.compile(r"(?m)(?<!\*)\*+/? ?$")
 #: Stronger binding first in the language: with, and, or.
 BINDING = {"with": 3, "and": 2, "or": 1}
-SCHEMA = "doc_id bigint, licenses array<string>, expressions array<string>, rating int, malformed boolean, n_findings int"
+FIELDS = "licenses array<string>, expressions array<string>, rating int, malformed boolean, n_findings int"
 
 
 def postfix(expression: str) -> list[str]:
@@ -191,12 +191,13 @@ def scan(text: str | None):
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row a document with findings."""
-    text_batches(docs.sparkSession)
-    schema = pa.schema([("doc_id", pa.int64()), ("licenses", pa.list_(pa.string())), ("expressions", pa.list_(pa.string())), ("rating", pa.int32()), ("malformed", pa.bool_()), ("n_findings", pa.int32())])
+    found = pa.struct([("licenses", pa.list_(pa.string())), ("expressions", pa.list_(pa.string())), ("rating", pa.int32()), ("malformed", pa.bool_()), ("n_findings", pa.int32())])
 
     def run(batches):
         for b in batches:
-            rows = [{"doc_id": i, **dict(zip(schema.names[1:], r))} for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) if (r := scan(t))]
-            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            each = [scan(t) for t in b.column("text").to_pylist()]
+            hit = pa.array([i for i, r in enumerate(each) if r], pa.int64())
+            rows = pa.array([dict(zip((f.name for f in found), r)) for r in each if r], found)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(hit), *rows.flatten()], ["doc_id", *(f.name for f in found)])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(key(docs, "doc_id", "doc_id"), "text").mapInArrow(run, f"doc_id {key_type(docs, 'doc_id')}, {FIELDS}")

@@ -13,7 +13,7 @@ probability of RECALL at least; closer pairs are likelier. Every fingerprint tak
 
 Defined results. A text without words (null or empty, too) has no fingerprint: it's in no group and stays. A single
 word stands for its own pair. Of a group the least row stays, by doc_id, nulls first, then by a hash of the text, then,
-where both are equal, by the row as JSON. All columns are kept.
+where both are equal, by the row as JSON. Ids may be of any type with an order. All columns are kept.
 """
 
 from __future__ import annotations
@@ -29,11 +29,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import fresh, mix, slices, text_batches, text_key, words, written
+from .common import fresh, key, key_type, mix, slices, spread, text_key, words, written
 
 BITS, RADIUS, RECALL = 256, 52, 0.9
 STRIPS, LEAF = (64, 128), 512
 WORDS = BITS // 64
+#: Fingerprints that one task filters: some seconds of work, though their bytes are few.
+FILTERED = 1 << 13
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -67,16 +69,14 @@ def fingerprints_of(text: pa.Array) -> list[bytes | None]:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """d (doc_id), k (hash of the text) and fp of each row that has words."""
-    text_batches(docs.sparkSession)
-    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("fp", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for b in slices(batch):
-                out = pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), pa.array(fingerprints_of(b.column("text")), pa.binary())], schema=schema)
+                out = pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), pa.array(fingerprints_of(b.column("text")), pa.binary())], ["d", "k", "fp"])
                 yield out.filter(out.column("fp").is_valid())
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("d"), text_key(F.col("text")).alias("k"), "text").mapInArrow(run, "d bigint, k bigint, fp binary")
+    return docs.select(key(docs, "doc_id", "d"), text_key(F.col("text")).alias("k"), "text").mapInArrow(run, f"d {key_type(docs, 'doc_id')}, k bigint, fp binary")
 
 
 @lru_cache(None)
@@ -198,7 +198,8 @@ def matrix(cells: pa.Array) -> np.ndarray:
 def search(fps: DataFrame, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
     """Edges a, b between the distinct fingerprints of the column fp."""
     distinct = written(fps.select("fp").distinct(), "fps")
-    shape = plan(distinct.count(), radius, recall, leaf)
+    n = distinct.count()
+    shape = plan(n, radius, recall, leaf)
 
     def filtered(batches):
         for b in batches:
@@ -214,7 +215,7 @@ def search(fps: DataFrame, radius: int = RADIUS, recall: float = RECALL, leaf: i
         i, j = np.array(pairs, np.int64).reshape(-1, 2).T
         return pa.table({"a": cells.take(pa.array(j)), "b": cells.take(pa.array(i))})
 
-    return distinct.mapInArrow(filtered, "list bigint, fp binary").groupBy("list").applyInArrow(compare, "a binary, b binary")
+    return spread(distinct, n, FILTERED).mapInArrow(filtered, "list bigint, fp binary").groupBy("list").applyInArrow(compare, "a binary, b binary")
 
 
 def groups(docs: DataFrame, radius: int = RADIUS, recall: float = RECALL, leaf: int = LEAF) -> DataFrame:
@@ -243,11 +244,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, recall: float =
     told = written(g.groupBy("d", "k").agg(F.bool_or(stays).alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1"), "told")
     told_ = told.select(F.col("d").alias(d), F.col("k").alias(m), F.when(F.col("stays"), F.col("n")).otherwise(0).alias(n))
     x = docs.withColumn(k, text_key(F.col("text")))
-    x = x.join(told_.hint("shuffle_hash"), x["doc_id"].cast("bigint").eqNullSafe(told_[d]) & (x[k] == told_[m]), "left")
+    x = x.join(told_.hint("shuffle_hash"), x["doc_id"].cast(key_type(docs, "doc_id")).eqNullSafe(told_[d]) & (x[k] == told_[m]), "left").drop(d, m)
     columns = [f"`{c}`" for c in docs.columns]
-    single = x.filter(F.col(n).isNull()).select(*columns)
-    if told.filter("stays").isEmpty():
-        return single
+    # both branches read the same shuffled documents; the window sees the few rows that are listed more than once
     one = F.row_number().over(W.partitionBy("doc_id", k).orderBy(F.to_json(F.struct(*columns))))
-    several = x.filter(F.col(n) > 0).withColumn(m, one).filter(F.col(m) == 1).select(*columns)
-    return single.union(several)
+    several = x.filter(F.coalesce(n, F.lit(0)) > 0).withColumn(d, one).filter(F.col(d) == 1)
+    return x.filter(F.col(n).isNull()).select(*columns).union(several.select(*columns))

@@ -12,24 +12,22 @@ Defined results. Scheme, query, fragment, letter case of the host, and slashes a
 differ in nothing else are one path, and share their partner; it's compared by its least page, by page_id, nulls first,
 then by a hash of the row. A page alone on its host, or whose URL is null or has no host, keeps all lines. A null or
 empty html has no lines, and an empty text. Of several longest alignments any one may count; the choice depends on the
-two pages alone. Repeated rows count each. Other columns are ignored.
+two pages alone. Repeated rows count each. Ids of whole numbers come as bigint, others in their own type. Other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
-from os.path import commonprefix
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import slices, text_batches, written
+from .common import key, key_type, slices, written
 
 #: Bits of the alignment's table that are held at once; beyond that it's split in two (Hirschberg).
 TABLE_BITS = 1 << 28
@@ -112,11 +110,10 @@ def aligned(a: list[int], b: list[int], table_bits: int = TABLE_BITS) -> list[in
 
 def extracted(pages: DataFrame, bodies: bool) -> DataFrame:
     """page_id, url, host, path, k (hash of the row), hashes of the lines, and, with bodies, the lines compressed."""
-    text_batches(pages.sparkSession)
     base = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
     host = F.lower(F.regexp_extract("url", base + r"([^/?#]+)", 1))
     path = F.regexp_replace(F.regexp_extract("url", base + r"[^/?#]+([^?#]*)", 1), "/+$", "")
-    src = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", F.when(host != "", host).alias("host"), path.alias("path"), F.xxhash64(F.col("url"), F.col("html")).alias("k"), F.col("html").alias("text"))
+    src = pages.select(key(pages, "page_id", "page_id"), "url", F.when(host != "", host).alias("host"), path.alias("path"), F.xxhash64(F.col("url"), F.col("html")).alias("k"), F.col("html").alias("text"))
     keep = ["page_id", "url", "host", "path", "k"]
 
     def run(batches):
@@ -133,29 +130,34 @@ def extracted(pages: DataFrame, bodies: bool) -> DataFrame:
                     out["body"] = pa.array([squash.compress("\n".join(x).encode()) for x in each], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return src.mapInArrow(run, "page_id bigint, url string, host string, path string, k bigint, hashes binary" + ", body binary" * bodies)
+    return src.mapInArrow(run, f"page_id {key_type(pages, 'page_id')}, url string, host string, path string, k bigint, hashes binary" + ", body binary" * bodies)
 
 
-@F.pandas_udf(T.LongType())
-def common_prefix(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Characters at the start that both have; -1 where one is null."""
-    return pd.Series([-1 if x is None or y is None else len(commonprefix((x, y))) for x, y in zip(a, b)], dtype="int64")
+def common_prefix(a: Column, b: Column) -> Column:
+    """Characters at the start that both have, found by halving steps; -1 where one is null."""
+    most = F.least(F.length(a), F.length(b))
+
+    def longer(n: Column, step: Column) -> Column:
+        return F.when((n + step <= most) & (F.substr(a, F.lit(1), n + step) == F.substr(b, F.lit(1), n + step)), n + step).otherwise(n)
+
+    steps = F.array(*(F.lit(1 << k) for k in range(29, -1, -1)))
+    return F.when(a.isNull() | b.isNull(), -1).otherwise(F.aggregate(steps, F.lit(0), longer))
 
 
 def partners(paths: DataFrame) -> DataFrame:
     """host, path and partner for distinct host and path; a null partner where the path is alone."""
     keys = paths.filter("host is not null").select("host", "path").distinct()
     keys = written(keys.repartitionByRange("host", "path").withColumn("part", F.spark_partition_id()), "paths")
-    key = F.struct("host", "path")
-    ends = keys.groupBy("part").agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    both = F.struct("host", "path")
+    ends = keys.groupBy("part").agg(F.min(both).alias("low"), F.max(both).alias("high"))
     over = W.orderBy("part")  # one row a partition
     ends = ends.select("part", F.lag("high").over(over).alias("before"), F.lead("low").over(over).alias("after"))
     w = W.partitionBy("part").orderBy("host", "path")
-    near = keys.withColumn("l", F.lag(key).over(w)).withColumn("r", F.lead(key).over(w)).join(F.broadcast(ends), "part")
+    near = keys.withColumn("l", F.lag(both).over(w)).withColumn("r", F.lead(both).over(w)).join(F.broadcast(ends), "part")
     near = near.withColumn("l", F.coalesce("l", "before")).withColumn("r", F.coalesce("r", "after"))
     left, right = (F.when(F.col(f"{x}.host") == F.col("host"), F.col(f"{x}.path")) for x in "lr")
     near = near.select("host", "path", left.alias("l"), right.alias("r"))
-    near = near.withColumn("nl", common_prefix("path", "l")).withColumn("nr", common_prefix("path", "r"))
+    near = near.withColumn("nl", common_prefix(F.col("path"), F.col("l"))).withColumn("nr", common_prefix(F.col("path"), F.col("r")))
     return near.select("host", "path", F.when(F.col("nl") >= F.col("nr"), F.col("l")).otherwise(F.col("r")).alias("partner"))
 
 
@@ -166,7 +168,6 @@ def main_text(pages: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
     least = least.select("host", F.col("path").alias("partner"), F.col("least.hashes").alias("other"))
     pairs = partners(rows.select("host", "path")).filter("partner is not null").join(least, ["host", "partner"])
     joined = extracted(pages, True).drop("k").join(pairs, ["host", "path"], "left").select("page_id", "url", "hashes", "body", "partner", "other")
-    schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_lines", pa.int32()), ("n_removed", pa.int32()), ("partner", pa.string())])
 
     def run(batches):
         import zstandard
@@ -182,6 +183,6 @@ def main_text(pages: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
                     texts.append("\n".join(s for i, s in enumerate(lines) if i not in gone))
                     n.append(len(own))
                     removed.append(len(gone))
-                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(removed, pa.int32()), b.column("partner")], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string()), pa.array(n, pa.int32()), pa.array(removed, pa.int32()), b.column("partner")], ["page_id", "url", "text", "n_lines", "n_removed", "partner"])
 
-    return joined.mapInArrow(run, "page_id bigint, url string, text string, n_lines int, n_removed int, partner string")
+    return joined.mapInArrow(run, f"page_id {key_type(pages, 'page_id')}, url string, text string, n_lines int, n_removed int, partner string")

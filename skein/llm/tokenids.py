@@ -6,7 +6,7 @@ on its own, and notes the bit offset of every CHECKPOINT-th id, from which decod
 
 Defined results. An empty text has no ids, and a piece of length 0; a null text's piece is marked. A document that
 doesn't fit the rest of a block goes on in the next, as another piece; nothing is cut off. Null or repeated doc_ids are
-kept, each row on its own. Other columns are ignored. An empty table gives no blocks. A corpus of one distinct id has a
+kept, each row on its own; ids of whole numbers as bigint, others in their own type. Other columns are ignored. An empty table gives no blocks. A corpus of one distinct id has a
 code of one bit.
 """
 
@@ -19,14 +19,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .bpe import VOCABULARY, encoder, vocabulary
-from .common import slices, text_batches, written
+from .common import key, key_type, slices, written
 
 BLOCK, CHECKPOINT, MAX_BITS = 1 << 18, 1024, 20
-_PIECE = pa.struct([("doc_id", pa.int64()), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("is_null", pa.bool_())])
-_BLOCK = pa.schema([("block", pa.string()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("every", pa.int32()), ("checkpoints", pa.list_(pa.int64())), ("pieces", pa.list_(_PIECE)), ("code_lengths", pa.binary())])
-SCHEMA = "block string, n_ids bigint, payload binary, every int, checkpoints array<bigint>, pieces array<struct<doc_id: bigint, first_id: bigint, n_ids: bigint, is_null: boolean>>, code_lengths binary"
+
+
+def schemas(kind: str, arrow: pa.DataType) -> tuple[str, pa.Schema]:
+    """Of the blocks, for ids of this type."""
+    piece = pa.struct([("doc_id", arrow), ("first_id", pa.int64()), ("n_ids", pa.int64()), ("is_null", pa.bool_())])
+    block = pa.schema([("block", pa.string()), ("n_ids", pa.int64()), ("payload", pa.binary()), ("every", pa.int32()), ("checkpoints", pa.list_(pa.int64())), ("pieces", pa.list_(piece)), ("code_lengths", pa.binary())])
+    return f"block string, n_ids bigint, payload binary, every int, checkpoints array<bigint>, pieces array<struct<doc_id: {kind}, first_id: bigint, n_ids: bigint, is_null: boolean>>, code_lengths binary", block
 
 
 def id_type(n: int):
@@ -36,9 +41,7 @@ def id_type(n: int):
 
 def token_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """doc_id, ids (binary, little endian) and is_null, row by row."""
-    text_batches(docs.sparkSession)
     data = vocabulary(docs.sparkSession, path)
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("is_null", pa.bool_())])
 
     def run(batches):
         bpe = encoder(data.value)
@@ -48,9 +51,9 @@ def token_ids(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 ids, n = bpe.ids(b.column("text"))
                 ids, at = ids.astype(kind), np.concatenate(([0], np.cumsum(n)))
                 cells = [ids[i:j].tobytes() for i, j in zip(at[:-1].tolist(), at[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cells, pa.binary()), b.column("text").is_null()], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(cells, pa.binary()), b.column("text").is_null()], ["doc_id", "ids", "is_null"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, ids binary, is_null boolean")
+    return docs.select(key(docs, "doc_id", "doc_id"), "text").mapInArrow(run, f"doc_id {key_type(docs, 'doc_id')}, ids binary, is_null boolean")
 
 
 def id_counts(ids: DataFrame, size: int) -> np.ndarray:
@@ -132,13 +135,13 @@ def pack_bits(ids: np.ndarray, lengths: np.ndarray, code: np.ndarray) -> tuple[b
 
 
 def encoded(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK, checkpoint: int = CHECKPOINT, max_bits: int = MAX_BITS) -> DataFrame:
-    """One row a block."""
+    """One row a block, and one row named book, which alone holds the code lengths, compressed."""
     spark = docs.sparkSession
     size = len(encoder(vocabulary(spark, path).value).width)
     kind = id_type(size)
     ids = written(token_ids(docs, path), "ids")
     lengths = code_lengths(id_counts(ids, size), max_bits)
-    book = zlib.compress(lengths.tobytes(), 9)
+    ddl, arrow = schemas(key_type(docs, "doc_id"), to_arrow_type(ids.schema["doc_id"].dataType))
     shared = spark.sparkContext.broadcast(lengths)  # as long as the vocabulary
 
     def run(batches):
@@ -150,9 +153,9 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK, checkpo
         def close():
             nonlocal held, n, pieces, made
             data, starts = pack_bits(np.concatenate(held), lengths, code) if n else (b"", np.zeros(0, np.int64))
-            row = {"block": f"{part:06d}-{made:06d}", "n_ids": n, "payload": data, "every": checkpoint, "checkpoints": starts[::checkpoint].tolist(), "pieces": pieces, "code_lengths": book}
+            row = {"block": f"{part:06d}-{made:06d}", "n_ids": n, "payload": data, "every": checkpoint, "checkpoints": starts[::checkpoint].tolist(), "pieces": pieces}
             held, n, pieces, made = [], 0, [], made + 1
-            return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
+            return pa.RecordBatch.from_pylist([row], schema=arrow)
 
         for b in batches:
             for doc, cell, null in zip(b.column("doc_id").to_pylist(), b.column("ids"), b.column("is_null").to_pylist()):
@@ -170,7 +173,11 @@ def encoded(docs: DataFrame, path: str = VOCABULARY, block: int = BLOCK, checkpo
         if pieces:
             yield close()
 
-    return ids.mapInArrow(run, SCHEMA)
+    made = ids.mapInArrow(run, ddl)
+    if not lengths.any():
+        return made
+    book = spark.createDataFrame([("book", zlib.compress(lengths.tobytes(), 9))], "block string, code_lengths binary")
+    return made.unionByName(book, allowMissingColumns=True)
 
 
 def decoding_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -205,19 +212,20 @@ def decode(payload: bytes, n: int, gap: int, checkpoints: list[int], table: tupl
 
 
 def decoded(blocks: DataFrame) -> DataFrame:
-    """One row a piece: doc_id, first_id, ids, is_null."""
+    """One row a piece: doc_id, first_id, ids, is_null. The code book, as long as the vocabulary, is read first."""
+    books = blocks.filter("code_lengths is not null").select("code_lengths").take(1)
+    data = books[0].code_lengths if books else zlib.compress(bytes(1))
+    kind = blocks.select(F.inline("pieces")).schema[0].dataType
+    schema = pa.schema([("doc_id", to_arrow_type(kind)), ("first_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("is_null", pa.bool_())])
 
     def run(batches):
-        tables = {}
+        table = decoding_table(np.frombuffer(zlib.decompress(data), np.uint8))
         for b in batches:
             for r in b.to_pylist():
-                key = r["code_lengths"]
-                if key not in tables:
-                    tables = {key: decoding_table(np.frombuffer(zlib.decompress(key), np.uint8))}
-                ids, at, rows = decode(r["payload"], r["n_ids"], r["every"], r["checkpoints"], tables[key]), 0, []
+                ids, at, rows = decode(r["payload"], r["n_ids"], r["every"], r["checkpoints"], table), 0, []
                 for p in r["pieces"]:
                     rows.append({"doc_id": p["doc_id"], "first_id": p["first_id"], "ids": ids[at : at + p["n_ids"]].tolist(), "is_null": p["is_null"]})
                     at += p["n_ids"]
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("first_id", pa.int64()), ("ids", pa.list_(pa.int64())), ("is_null", pa.bool_())]))
+                yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return blocks.mapInArrow(run, "doc_id bigint, first_id bigint, ids array<bigint>, is_null boolean")
+    return blocks.filter("payload is not null").drop("code_lengths").mapInArrow(run, f"doc_id {kind.simpleString()}, first_id bigint, ids array<bigint>, is_null boolean")

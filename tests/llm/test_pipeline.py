@@ -42,17 +42,20 @@ def brute(name, docs, items):
         for lang in {x[2] for x in docs}:
             of = [x for x in docs if x[2] == lang]
             clean = [" ".join((x[1] or "").lower().split()).encode() for x in of]
-            m = plain.KneserNey(clean, perplexity.ORDER)
-            s = [round(m.score(t), 9) if t else None for t in clean]
-            bins = sorted(round(v / perplexity.STEP) for v in s if v is not None)
-            if not bins:
+            m = plain.KneserNey({t for t in clean if t}, perplexity.ORDER)
+            scores = {t: (round(m.score(t), 9), round(m.held(t), 9)) for t in set(clean) if t}
+            if not scores:
                 continue
-            mid = bins[(len(bins) - 1) // 2]
-            dev = sorted(abs(b - mid) for b in bins)[(len(bins) - 1) // 2]
-            for x, t, v in zip(of, clean, s):
-                width = v is not None and ((dev * perplexity.STEP * 1.4826) ** 2 + perplexity.NOISE**2 / len(t)) ** 0.5
-                if v is not None and abs(v - mid * perplexity.STEP) <= perplexity.BANDS[0] * width:
-                    out.append(x)
+            bands = []
+            for k in (0, 1):
+                bins = sorted(round(v[k] / perplexity.STEP) for v in scores.values())
+                mid = bins[(len(bins) - 1) // 2]
+                bands.append((mid * perplexity.STEP, sorted(abs(b - mid) for b in bins)[(len(bins) - 1) // 2]))
+            for x, t in zip(of, clean):
+                if t:
+                    wide = [perplexity.BANDS[k] * ((dev * perplexity.STEP * 1.4826) ** 2 + perplexity.NOISE**2 / len(t)) ** 0.5 for k, (_, dev) in enumerate(bands)]
+                    if scores[t][0] >= bands[0][0] - wide[0] and scores[t][1] <= bands[1][0] + wide[1]:
+                        out.append(x)
         return out
     if name == "line dedup":
         return [(x[0], t, x[2]) for x, t in zip(docs, plain.dedup_lines([(key(x), x[1]) for x in docs])) if t is not None]
