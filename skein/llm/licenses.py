@@ -1,14 +1,15 @@
 """Licence scan: an Aho-Corasick automaton finds identifier tags and notice phrases, a shunting-yard parser evaluates
-the tags' and/or/with expressions.
+the tags' and/or/with expressions. Identifiers and their ratings are data (spdx.py).
 
 The rating of a licence is 0 (permissive), 1 (weak copyleft), 2 (strong copyleft), 3 (no commercial use) or 4
 (unknown). "or" leaves the choice, so it takes the lower rating; "and" takes the higher; "with" a known exception makes
 a strong copyleft weak. Several findings in one document hold together, as under "and".
 
 Defined results. Whole texts are searched, without regard to case; phrases of notices also without regard to line ends,
-comment leaders and the width of white space. "All rights reserved" beside another finding doesn't change the rating. A document without any finding, an empty or null
+comment leaders and the width of white space. A grant that several licences share is of the one whose clause stands in
+the text, too. "All rights reserved" beside another finding doesn't change the rating. A document without any finding, an empty or null
 text among them, has no row. An expression that can't be parsed is kept as it stands, with rating 4 and malformed true.
-A null doc_id is returned as it is, repeated rows each. Other columns are ignored.
+A null doc_id is returned as it is, repeated rows each; ids of whole numbers as bigint, others in their own type. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,22 +21,47 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import key, key_type
+from .spdx import EXCEPTIONS, PERMISSIVE, RESTRICTED, STRONG, WEAK
 
 TAG = "spdx-license-identifier:"
 #: Phrases of notices, and the identifier each stands for. Of overlapping phrases the longest counts.
 NOTICES = {
     "apache license, version 2.0": "Apache-2.0",
     "apache.org/licenses/license-2.0": "Apache-2.0",
+    "apache license version 2.0": "Apache-2.0",
+    "apache license 2.0": "Apache-2.0",
+    "apache 2.0 license": "Apache-2.0",
+    "mit license (mit)": "MIT",
+    "permission to use, copy, modify, and/or distribute this software for any purpose": "ISC",
+    "permission to use, copy, modify, and distribute this software for any purpose": "ISC",
+    "this software is provided 'as-is', without any express or implied warranty": "Zlib",
+    "boost software license - version 1.0": "BSL-1.0",
+    "boost software license, version 1.0": "BSL-1.0",
+    "this is free and unencumbered software released into the public domain": "Unlicense",
+    "eclipse public license - v 2.0": "EPL-2.0",
+    "eclipse public license 2.0": "EPL-2.0",
+    "eclipse public license v2.0": "EPL-2.0",
+    "eclipse public license v1.0": "EPL-1.0",
+    "eclipse public license - v 1.0": "EPL-1.0",
+    "common development and distribution license (cddl) version 1.0": "CDDL-1.0",
+    "european union public licence v. 1.2": "EUPL-1.2",
+    "creative commons zero v1.0 universal": "CC0-1.0",
+    "cc0 1.0 universal": "CC0-1.0",
+    "sil open font license, version 1.1": "OFL-1.1",
+    "business source license 1.1": "BUSL-1.1",
+    "server side public license": "SSPL-1.0",
     "released under the mit license": "MIT",
     "licensed under the mit license": "MIT",
     "permission is hereby granted, free of charge, to any person obtaining a copy": "MIT",
-    "redistribution and use in source and binary forms": "BSD-3-Clause",
+    "redistribution and use in source and binary forms": "BSD-2-Clause",
     "gnu general public license, version 3": "GPL-3.0-only",
     "gnu general public license, version 2": "GPL-2.0-only",
     "gnu lesser general public license": "LGPL-3.0-only",
     "gnu affero general public license": "AGPL-3.0-only",
     "mozilla public license, version 2.0": "MPL-2.0",
     "mozilla public license, v. 2.0": "MPL-2.0",
+    "mozilla public license 2.0": "MPL-2.0",
+    "mozilla public license, version 1.1": "MPL-1.1",
     "licensed under cc by 4.0": "CC-BY-4.0",
     "licensed under cc by-sa 4.0": "CC-BY-SA-4.0",
     "licensed under cc by-nc 4.0": "CC-BY-NC-4.0",
@@ -54,17 +80,15 @@ for _name, _short, _versions in (("general", "GPL", ("2", "3")), ("lesser genera
         NOTICES |= {f"{_gnu}{x}{_v}": f"{_id}-only" for x in (" version ", ", version ", " v", " (version ")}
         for _mark in ",;":
             NOTICES |= {f"{_gnu} as published by the free software foundation{_mark} either version {_v}": f"{_id}-or-later", f"{_gnu} as published by the free software foundation{_mark} version {_v}": f"{_id}-only"}
+#: Clauses that tell licences of one grant apart: where one stands beside the grant, the grant is of that licence.
+CLAUSES = {
+    "BSD-2-Clause": (("all advertising materials mentioning features", "BSD-4-Clause"), ("neither the name of", "BSD-3-Clause"), ("neither the names of", "BSD-3-Clause"), ("be used to endorse or promote products derived from", "BSD-3-Clause")),
+}
 #: Phrases without a version: they name their licence where no other of its family is found.
 BARE = {"gnu lesser general public license": "lgpl-", "gnu affero general public license": "agpl-"}
 #: Reserves what no other finding grants.
 RESERVED = "all rights reserved"
-RATING = {x.lower(): r for r, xs in enumerate((
-    "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause ISC Zlib Unlicense CC0-1.0 CC-BY-4.0 0BSD BSL-1.0 Python-2.0",
-    "LGPL-2.0-only LGPL-2.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MPL-2.0 EPL-2.0 CDDL-1.0",
-    "GPL-2.0-only GPL-2.0-or-later GPL-2.0 GPL-3.0-only GPL-3.0-or-later GPL-3.0 AGPL-3.0-only AGPL-3.0-or-later CC-BY-SA-4.0",
-    "CC-BY-NC-4.0 CC-BY-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-NC-ND-4.0",
-)) for x in xs.split()}
-EXCEPTIONS = {"classpath-exception-2.0", "gcc-exception-3.1", "linux-syscall-note", "llvm-exception", "autoconf-exception-3.0", "bison-exception-2.2"}
+RATING = {x.lower(): r for r, xs in enumerate((PERMISSIVE, WEAK, STRONG, RESTRICTED)) for x in xs.split()}
 UNKNOWN = 4
 #: What starts and ends lines of a comment, once spaces are single.
 _LEADER = re.compile(r"(?m)^(?: ?(?:<!--|/\*+|\*+/?|//+|#+|;+|--+|%+|!+|>+|\|+|rem\b|dnl\b))+")
@@ -138,7 +162,7 @@ def automaton():
         import ahocorasick
 
         _AUTOMATON = ahocorasick.Automaton()
-        for phrase in NOTICES:
+        for phrase in [*NOTICES, *(c for cs in CLAUSES.values() for c, _ in cs)]:
             _AUTOMATON.add_word(phrase, phrase)
         _AUTOMATON.make_automaton()
     return _AUTOMATON
@@ -162,7 +186,8 @@ def flat(low: str) -> str:
 def scan(text: str | None):
     """(licences, expressions, rating, malformed, findings) of a text, or None where it has none."""
     low = (text or "").lower()
-    found = [(end - len(p) + 1, end + 1, p) for end, p in automaton().iter(flat(low))]
+    every = [(end - len(p) + 1, end + 1, p) for end, p in automaton().iter(flat(low))]
+    found, clauses = [x for x in every if x[2] in NOTICES], {p for _, _, p in every if p not in NOTICES}
     tags = [m.end() for m in re.finditer(re.escape(TAG), low)]
     if not found and not tags:
         return None
@@ -182,10 +207,11 @@ def scan(text: str | None):
             r, malformed = UNKNOWN, True
         rating = max(rating, r)
     phrases = {p for _, _, p in longest}
-    names |= {NOTICES[p].lower() for p in phrases - BARE.keys()}
-    names |= {NOTICES[p].lower() for p in phrases & BARE.keys() if not any(x.startswith(BARE[p]) for x in names)}
+    of = {p: next((x for c, x in CLAUSES.get(NOTICES[p], ()) if c in clauses), NOTICES[p]).lower() for p in phrases}
+    names |= {of[p] for p in phrases - BARE.keys()}
+    names |= {of[p] for p in phrases & BARE.keys() if not any(x.startswith(BARE[p]) for x in names)}
     alone = not tags and phrases == {RESERVED}
-    rating = max([rating, *(RATING.get(NOTICES[p].lower(), UNKNOWN) for p in phrases if p != RESERVED or alone)])
+    rating = max([rating, *(RATING.get(of[p], UNKNOWN) for p in phrases if p != RESERVED or alone)])
     return sorted(names), sorted(set(expressions)), rating, malformed, len(longest) + len(tags)
 
 

@@ -530,7 +530,12 @@ GPL_HEADER = """/*
 
 @pytest.mark.parametrize("text,names,rating,n", [
     ("Copyright X.  All Rights\n\tReserved.", ["licenseref-all-rights-reserved"], 4, 1),
-    ("# All rights reserved.\n# Redistribution and use in source and\n# binary forms, with or without", ["bsd-3-clause", "licenseref-all-rights-reserved"], 0, 2),
+    ("# All rights reserved.\n# Redistribution and use in source and\n# binary forms, with or without", ["bsd-2-clause", "licenseref-all-rights-reserved"], 0, 2),
+    ("Redistribution and use in source and binary forms, with\n * or without. 3. Neither the\n * name of X nor", ["bsd-3-clause"], 0, 1),
+    ("Redistribution and use in source and binary forms. All advertising\nmaterials mentioning features. Neither the name of X", ["bsd-4-clause"], 0, 1),
+    ("under the GNU Lesser General Public License version 2.1", ["lgpl-2.1-only"], 1, 1),
+    ("Licensed under the Apache License,\n * Version 2.0", ["apache-2.0"], 0, 1),
+    ("GNU General Public License as published by the Free Software Foundation; either version 2 of", ["gpl-2.0-or-later"], 2, 1),
     ("Proprietary and confidential", ["licenseref-proprietary"], 4, 1),
     (GPL_HEADER, ["gpl-3.0-or-later"], 2, 1),
     (GPL_HEADER.replace("GNU General", "GNU Lesser General").replace("Foundation, either version 3", "Foundation; either version 2.1"), ["lgpl-2.1-or-later"], 1, 2),
@@ -544,6 +549,86 @@ def test_notices_over_lines(text, names, rating, n):
     assert (got[0], got[2], got[4]) == (names, rating, n)
 
 
+def plain_notices(text):
+    """(names, findings) by looking for every phrase at every place of the text in one line."""
+    out = []
+    for line in text.lower().split("\n"):
+        line = " ".join(line.split())
+        while True:
+            for mark in ("<!--", "/*", "*/", "//", "#", ";", "--", "%", "!", ">", "|", "*", "rem ", "dnl "):
+                if line.startswith(mark):
+                    line = line[len(mark) :].strip()
+                    break
+            else:
+                break
+        if line.endswith("*") and not line.endswith("**") or line.endswith("*/"):
+            line = line.rstrip("/").rstrip("*").strip()
+        out.append(line)
+    flat = " ".join(" ".join(out).split())
+    at, n, hit = 0, 0, set()
+    while at < len(flat):
+        here = [p for p in licenses.NOTICES if flat.startswith(p, at)]
+        if here:
+            hit.add(max(here, key=len))
+            n, at = n + 1, at + len(max(here, key=len))
+        else:
+            at += 1
+    names = set()
+    for p in hit - licenses.BARE.keys():
+        names.add(next((x for c, x in licenses.CLAUSES.get(licenses.NOTICES[p], ()) if c in flat), licenses.NOTICES[p]).lower())
+    for p in hit & licenses.BARE.keys():
+        if not any(x.startswith(licenses.BARE[p]) for x in names):
+            names.add(licenses.NOTICES[p].lower())
+    return sorted(names), n
+
+
+def test_notices_against_brute_force():
+    r = random.Random(7)
+    phrases = [*licenses.NOTICES, *(c for cs in licenses.CLAUSES.values() for c, _ in cs)]
+    for _ in range(500):
+        words = []
+        for _ in range(r.randrange(1, 5)):
+            p = r.choice(phrases).split(" ")
+            words += [w.upper() if r.random() < 0.3 else w for w in (p if r.random() < 0.8 else p[: r.randrange(1, len(p) + 1)])] + prose(r, r.randrange(3)).split()
+        lead = r.choice(["", "# ", " * ", "// ", ";; ", "> "])
+        text = lead
+        for w in words:
+            text += w + r.choice([" ", " ", "  ", "\t", "\n" + lead])
+        names, n = plain_notices(text)
+        got = licenses.scan(text)
+        assert (got[0], got[4]) == (names, n) if got else not n, text
+
+
+def plain_rating(expression):
+    """The least rating over all choices that "or" leaves, of what holds together."""
+    e = expression.strip()
+    while e.startswith("(") and all(e[:i].count("(") > e[:i].count(")") for i in range(1, len(e))):
+        e = e[1:-1].strip()
+    for word, pick in (("or", min), ("and", max)):
+        cuts = [m.start() for m in __import__("re").finditer(rf" {word} ", e) if e[: m.start()].count("(") == e[: m.start()].count(")")]
+        if cuts:
+            return pick(plain_rating(e[: cuts[-1]]), plain_rating(e[cuts[-1] + len(word) + 2 :]))
+    if " with " in e:
+        a, x = e.split(" with ")
+        rating = plain_rating(a)
+        return (1 if rating == 2 else rating) if x in licenses.EXCEPTIONS else 4
+    return licenses.RATING.get(e, 4)
+
+
+def test_expressions_against_brute_force():
+    r = random.Random(8)
+
+    def make(depth):
+        if not depth or r.random() < 0.2:
+            name = r.choice(["mit", "gpl-2.0-only", "lgpl-2.1-or-later", "cc-by-nc-4.0", "odd-1.0", "isc"])
+            return f"{name} with {r.choice(['classpath-exception-2.0', 'none-such'])}" if r.random() < 0.15 else name
+        return r.choice(["{} or {}", "{} and {}", "({} or {})", "({} and {})", "(({}) and {})"]).format(make(depth - 1), make(depth - 1))
+
+    for _ in range(500):
+        e = make(4)
+        assert licenses.evaluate(e)[0] == plain_rating(e), e
+
+
 def test_license_scan(spark):
     long = "word " * 300_000
     texts = [None, "", "nothing", long + "SPDX-License-Identifier: MIT", "// spdx-license-identifier: GPL-2.0-only OR */ x", "licensed under CC BY-SA 4.0 and more", "Released under the MIT License. released under the mit license"]
