@@ -59,10 +59,10 @@ def stem(path: Column) -> Column:
 
 
 def folded(path: Column) -> Column:
-    """A relative path with . and .. segments worked out; null where it leaves the root."""
+    """An absolute path with . and .. segments worked out; above the top there is nothing, so .. stays there."""
     def step(acc: Column, s: Column) -> Column:
-        up = F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.lit(None).cast("array<string>"))
-        return F.when(acc.isNull(), acc).when((s == "") | (s == "."), acc).when(s == "..", up).otherwise(F.concat(acc, F.array(s)))
+        up = F.when(F.size(acc) > 0, F.slice(acc, 1, F.size(acc) - 1)).otherwise(acc)
+        return F.when((s == "") | (s == "."), acc).when(s == "..", up).otherwise(F.concat(acc, F.array(s)))
 
     return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dropped, written
 
 
 def _state(e: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
         small = small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        e = written(small, "edges")
+        old, e = e, written(small, "edges")
+        dropped(old, large)
         state, last = _state(e), state
         if state == last:
             break

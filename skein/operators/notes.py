@@ -1,7 +1,11 @@
 """Linked notes: parsing, tags, tasks, properties, search, link resolution.
 
-Notes are a table: note_id, vault_ord, vault, relpath, stem, content. Where an order decides (the first of several
-notes of one name, a search with a limit), it is (vault_ord, relpath), by code points.
+Notes are a table: note_id, vault_ord, vault, relpath, stem, content, and root, the absolute path of the vault (without
+that column vaults are taken as folders side by side). Where an order decides (the first of several notes of one name, a
+search with a limit), it is (vault_ord, relpath), by code points.
+
+Texts are read once: what follows from one note alone is written as a narrow table (facts), and so are the name index
+and the links it resolves to. Search, tasks and reading go to the texts themselves, once each.
 """
 
 from __future__ import annotations
@@ -11,10 +15,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import lexer
 from ..functions.frontmatter import as_list, entries
+from ..sources.shared import written
 
 PLACE = ("vault_ord", "relpath")
 
@@ -31,11 +35,21 @@ class Corpus:
         n = self.notes.withColumn("content", lexer.newlines(F.coalesce("content", F.lit(""))))
         return n.withColumn("body", lexer.body(F.col("content"))).withColumn("raw", lexer.raw_frontmatter(F.col("content")))
 
+    @cached_property
+    def facts(self) -> DataFrame:
+        """note_id, vault_ord, relpath, stem, at (the note's own path below /), wiki and md (targets as written), tags, fm; written once."""
+        root = F.col("root") if "root" in self.notes.columns else F.concat(F.lit("/"), F.coalesce(F.col("vault"), F.lit("")))
+        body = F.col("body")
+        n = self.parsed.select(
+            "note_id", *PLACE, "stem", lexer.folded(F.concat(root, F.lit("/"), "relpath")).alias("at"), F.transform(lexer.wikilinks(body), lexer.stripped).alias("wiki"),
+            F.transform(lexer.mdlinks(body), lexer.stripped).alias("md"), lexer.tags(body).alias("tags"), entries(F.col("raw")).alias("fm"),
+        )
+        return written(n, "facts")
+
     @cached_property
     def properties(self) -> DataFrame:
         """note_id, vault_ord, relpath, pos, key, is_list, scalar, items: one row a frontmatter key."""
-        withfm = self.parsed.filter("raw is not null").select("note_id", *PLACE, F.posexplode(entries("raw")).alias("pos", "e"))
-        return withfm.select("note_id", *PLACE, "pos", "e.*")
+        return self.facts.select("note_id", *PLACE, F.posexplode("fm").alias("pos", "e")).select("note_id", *PLACE, "pos", "e.*")
 
     def listed(self, *keys: str) -> DataFrame:
         """note_id, vault_ord, relpath, item of list-like values, in no order."""
@@ -50,7 +64,7 @@ class Corpus:
     @cached_property
     def tag_rows(self) -> DataFrame:
         """note_id, tag, origin for each occurrence, in the body or in the frontmatter."""
-        inbody = self.parsed.select("note_id", F.explode(lexer.tags(F.col("body"))).alias("tag"), F.lit("body").alias("origin"))
+        inbody = self.facts.select("note_id", F.explode("tags").alias("tag"), F.lit("body").alias("origin"))
         infm = self.listed("tags").select("note_id", F.ltrim("item", F.lit("#")).alias("tag"), F.lit("frontmatter").alias("origin")).filter("tag <> ''")
         return inbody.union(infm)
 
@@ -60,7 +74,7 @@ class Corpus:
     def tagged(self, name: str) -> DataFrame:
         """Notes with exactly this tag, by path."""
         hit = self.tag_rows.filter(F.col("tag") == name.lstrip("#")).select("note_id").distinct()
-        return self.notes.join(hit, "note_id", "left_semi").select("note_id", *PLACE).orderBy("relpath", "vault_ord")
+        return self.facts.join(hit, "note_id", "left_semi").select("note_id", *PLACE).orderBy("relpath", "vault_ord")
 
     @cached_property
     def tasks(self) -> DataFrame:
@@ -91,55 +105,62 @@ class Corpus:
 
     def outgoing(self, note_ids: DataFrame | None = None) -> DataFrame:
         """note_id, pos, target: distinct targets as first written, unresolved; those in wiki links come first."""
-        n = self.parsed if note_ids is None else self.parsed.join(note_ids, "note_id", "left_semi")
-        wiki = F.transform(lexer.wikilinks(F.col("body")), lexer.stripped)
-        md = F.transform(lexer.mdlinks(F.col("body")), lexer.stem)
-        each = n.select("note_id", F.posexplode(F.concat(wiki, md)).alias("pos", "target"))
+        n = self.facts if note_ids is None else self.facts.join(note_ids, "note_id", "left_semi")
+        each = n.select("note_id", F.posexplode(F.concat("wiki", F.transform("md", lexer.stem))).alias("pos", "target"))
         first = each.groupBy("note_id", F.lower("target").alias("key")).agg(F.min(F.struct("pos", "target")).alias("f"))
         return first.select("note_id", "f.*")
 
     @cached_property
     def name_index(self) -> DataFrame:
         """key, note_id, vault_ord, relpath: every name that a note answers to."""
-        stems = self.notes.select(F.lower("stem").alias("key"), "note_id", *PLACE)
+        stems = self.facts.select(F.lower("stem").alias("key"), "note_id", *PLACE)
         others = self.aliases.select(F.lower("alias").alias("key"), "note_id", *PLACE)
-        return stems.union(others).distinct()
+        return written(stems.union(others).distinct(), "names")
 
     @cached_property
     def wiki_keys(self) -> DataFrame:
         """note_id, vault_ord, key: distinct keys of wiki links in the body."""
-        keys = F.array_distinct(F.transform(lexer.wikilinks(F.col("body")), lambda t: F.lower(lexer.stripped(t))))
-        return self.parsed.select("note_id", "vault_ord", F.explode(F.filter(keys, lambda k: k != "")).alias("key"))
+        keys = F.array_distinct(F.transform("wiki", F.lower))
+        return self.facts.select("note_id", "vault_ord", F.explode(F.filter(keys, lambda k: k != "")).alias("key"))
 
-    def resolved_keys(self, isolated: bool = False) -> DataFrame:
-        """wiki_keys with dst: the first of the same vault, else the first of all; null where there is none.
+    @cached_property
+    def looked_up(self) -> DataFrame:
+        """wiki_keys with near, the first note of that name in the same vault, and far, the first of all; written once.
 
-        Two lookups of one row a key (and vault) rather than a ranking of all candidates. isolated: each vault alone.
+        Two lookups of one row a key (and vault) rather than a ranking of all candidates.
         """
         i = self.name_index
         place = F.struct("vault_ord", "relpath", "note_id")
-        here = i.groupBy("key", "vault_ord").agg(F.min(place).alias("p")).select("key", "vault_ord", F.col("p.note_id").alias("near"))
-        keys = self.wiki_keys.join(here, ["key", "vault_ord"], "left")
-        if isolated:
-            return keys.withColumnRenamed("near", "dst")
-        anywhere = i.groupBy("key").agg(F.min(place).alias("p")).select("key", F.col("p.note_id").alias("far"))
-        return keys.join(anywhere, "key", "left").select("note_id", "vault_ord", "key", F.coalesce("near", "far").alias("dst"))
-
-    def md_links(self) -> DataFrame:
-        """src, dst, key (the target's stem) of links to files that exist; the first of each stem, none to a wiki key."""
-        folder = F.regexp_replace("relpath", "[^/]*$", "")
-        each = self.parsed.select(F.col("note_id").alias("src"), "vault_ord", folder.alias("folder"), F.posexplode(lexer.mdlinks(F.col("body"))).alias("pos", "href"))
-        each = each.withColumn("relpath", lexer.folded(F.concat("folder", "href")))
-        targets = self.notes.select(F.col("note_id").alias("dst"), "vault_ord", "relpath", F.lower("stem").alias("key"))
-        hit = each.join(targets, ["vault_ord", "relpath"]).filter("src <> dst")
-        first = hit.withColumn("rn", F.row_number().over(W.partitionBy("src", "key").orderBy("pos"))).filter("rn = 1").select("src", "dst", "key")
-        seen = self.wiki_keys.select(F.col("note_id").alias("src"), "key")
+        here = i.groupBy("key", "vault_ord").agg(F.min(place).alias("p"))
+        anywhere = here.groupBy("key").agg(F.min("p").alias("p")).select("key", F.col("p.note_id").alias("far"))
+        keys = self.wiki_keys.join(here.select("key", "vault_ord", F.col("p.note_id").alias("near")), ["key", "vault_ord"], "left")
+        return written(keys.join(anywhere, "key", "left").select("note_id", "vault_ord", "key", "near", "far"), "keys")
+
+    def resolved_keys(self, isolated: bool = False) -> DataFrame:
+        """wiki_keys with dst: the first of the same vault, else the first of all; null where there is none. isolated: each vault alone."""
+        return self.looked_up.select("note_id", "vault_ord", "key", (F.col("near") if isolated else F.coalesce("near", "far")).alias("dst"))
+
+    @cached_property
+    def md_hits(self) -> DataFrame:
+        """src, dst, pos, key (the target's stem), within (source and target lie in one vault) of links to files of any vault; written once."""
+        folder = F.regexp_replace("at", "[^/]*$", "")
+        each = self.facts.filter(F.size("md") > 0).select(F.col("note_id").alias("src"), F.col("vault_ord").alias("own"), F.posexplode(F.transform("md", lambda h: F.when(h.startswith("/"), h).otherwise(F.concat(folder, h)))).alias("pos", "href"))
+        each = each.withColumn("at", lexer.folded(F.col("href"))).drop("href")
+        targets = self.facts.select(F.col("note_id").alias("dst"), "vault_ord", "at", F.lower("stem").alias("key"))
+        hit = each.join(targets, "at").filter("src <> dst")
+        return written(hit.select("src", "dst", "pos", "key", (F.col("own") == F.col("vault_ord")).alias("within")), "hrefs")
+
+    def md_links(self, isolated: bool = False) -> DataFrame:
+        """src, dst, key of links to files that exist; the first of each stem, none to a wiki key. isolated: within one vault."""
+        hit = self.md_hits.filter("within") if isolated else self.md_hits
+        first = hit.groupBy("src", "key").agg(F.min_by("dst", "pos").alias("dst"))
+        seen = self.looked_up.select(F.col("note_id").alias("src"), "key")
         return first.join(seen, ["src", "key"], "left_anti").select("src", "dst", "key")
 
     def links(self, isolated: bool = False) -> DataFrame:
         """src, dst, raw_key, kind: one row a key, so two names of one note give two rows."""
         wiki = self.resolved_keys(isolated).filter("dst is not null and dst <> note_id").select(F.col("note_id").alias("src"), "dst", F.col("key").alias("raw_key"), F.lit("wiki").alias("kind"))
-        return wiki.union(self.md_links().select("src", "dst", F.col("key").alias("raw_key"), F.lit("md").alias("kind")))
+        return wiki.union(self.md_links(isolated).select("src", "dst", F.col("key").alias("raw_key"), F.lit("md").alias("kind")))
 
     def unresolved(self, isolated: bool = False) -> DataFrame:
         """key, src, vault_ord of links that lead nowhere."""
@@ -147,7 +168,7 @@ class Corpus:
 
     def orphans(self, isolated: bool = False) -> DataFrame:
         """Notes that no other note links to."""
-        return self.notes.join(self.links(isolated), F.col("note_id") == F.col("dst"), "left_anti").select("note_id", *PLACE)
+        return self.facts.join(self.links(isolated), F.col("note_id") == F.col("dst"), "left_anti").select("note_id", *PLACE)
 
     def backlinks(self) -> DataFrame:
         """dst, src, n: how many keys lead from src to dst."""

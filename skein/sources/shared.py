@@ -12,10 +12,12 @@ _CLEAN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """From spark.checkpoint.dir; a temporary folder only where that is unset."""
+    """From spark.checkpoint.dir. Where that is unset, a temporary folder if all runs in one process, else an error."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
+        if not (sc.master or "").split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="skein-shared-")
         sc.setCheckpointDir(root)
     path = f"{root.rstrip('/')}/skein-{sc.applicationId}"
@@ -32,6 +34,11 @@ def remove(spark: SparkSession, path: str) -> None:
         p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Removes all tables written so far: for when the results that read them have been used up."""
+    remove(spark, shared_dir(spark))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -40,4 +47,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts the lineage, and survives the loss of any executor."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._skein_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes written tables that nothing reads any more, such as those of a round that's over."""
+    for t in tables:
+        if path := getattr(t, "_skein_path", None):
+            remove(t.sparkSession, path)

@@ -36,9 +36,14 @@ def registry(path: str | None = None) -> dict[str, str]:
         return {}
 
 
+def default_name() -> str | None:
+    """The vault meant where none is named."""
+    return os.environ.get("SKEIN_VAULT") or os.environ.get("OBSIDIAN_VAULT") or None
+
+
 def resolve_vault(name: str | None = None, path: str | None = None) -> str | None:
-    """By folder name, then by the start of an id, then as a folder; without a name the first that exists."""
-    known = registry(path)
+    """By folder name, then by the start of an id, then as a folder; without a name the default one, else the first that exists."""
+    known, name = registry(path), name or default_name()
     if not name:
         return next((p for p in known.values() if os.path.isdir(p)), None)
     for p in known.values():
@@ -47,12 +52,14 @@ def resolve_vault(name: str | None = None, path: str | None = None) -> str | Non
     for k, p in known.items():
         if k.startswith(name):
             return p
-    return name if os.path.isdir(name) else None
+    folder = os.path.expanduser(name)
+    return folder if os.path.isdir(folder) else None
 
 
 def resolve_targets(name: str | None = None, path: str | None = None) -> list[str]:
     """"*", "stack" and "all": registered folders that hold no other one; "every": all; else a single one."""
-    every = [p for p in registry(path).values() if os.path.isdir(p)]
+    name = name or default_name()
+    every = [p for p in dict.fromkeys(registry(path).values()) if os.path.isdir(p)]
     if name == "every":
         return every
     if name in ("*", "stack", "all"):
@@ -103,7 +110,7 @@ class VaultReader(DataSourceReader):
                     text = Path(full).read_bytes().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
             except OSError:
                 text = ""
-            yield i, o, os.path.basename(root.rstrip("/")), rel, Path(rel).stem, size, text
+            yield i, o, os.path.basename(root.rstrip("/")), rel, Path(rel).stem, size, text, os.path.realpath(root)
 
 
 class VaultSource(DataSource):
@@ -117,7 +124,7 @@ class VaultSource(DataSource):
         return "vault"
 
     def schema(self):
-        return "note_id bigint, vault_ord int, vault string, relpath string, stem string, size bigint, content string"
+        return "note_id bigint, vault_ord int, vault string, relpath string, stem string, size bigint, content string, root string"
 
     def reader(self, schema):
         return VaultReader(self.options)

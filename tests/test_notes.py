@@ -1,15 +1,16 @@
 """Notes in folders: source, parsing, resolution, proposals."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from skein.functions import lexer, series
-from skein.functions.frontmatter import parse
+from skein.functions.frontmatter import entries
 from skein.operators import proposals, stack
 from skein.operators.notes import Corpus
-from skein.sources import sinks, vault
+from skein.sources import shared, sinks, vault
 
 
 def folder(root, files):
@@ -79,7 +80,6 @@ def test_parsing(notes):
     assert {r.relpath for r in c.tagged("#deep").collect()} == {"daily/day.md"}
     assert c.search("GAMMA").count() == 2 and c.search("GAMMA", case=True).count() == 0 and c.search("e", limit=2).count() == 2
     assert c.search("second", context=True).first().matches[0].line == 3
-    assert parse("a: New York\nb:\n- lost\nc:\n  x: y\nd: [1, 2]\n# no\nplain") == [{"key": k, "is_list": v is not None and not isinstance(v, str), "scalar": v if isinstance(v, str) else None, "items": v if isinstance(v, list) else None} for k, v in (("a", "New York"), ("b", ""), ("c", ""), ("d", ["1", "2"]))]
 
 
 def test_stack(spark, tmp_path):
@@ -129,8 +129,8 @@ def test_names(spark):
     assert {r.t: r.ok for r in df.collect()} == {x: x in good for x in good + bad}
     s = spark.createDataFrame([("a/b:c",), ("x//y",)], "t string").select(lexer.slug(F.col("t")).alias("s")).collect()
     assert [r.s for r in s] == ["a/b_c", "x/untitled/y"]
-    f = spark.createDataFrame([("a/../b.md",), ("../b.md",), ("./c/d.md",)], "t string").select(lexer.folded(F.col("t")).alias("s")).collect()
-    assert [r.s for r in f] == ["b.md", None, "c/d.md"]
+    f = spark.createDataFrame([("/a/../b.md",), ("/../b.md",), ("/./c//d.md",)], "t string").select(lexer.folded(F.col("t")).alias("s")).collect()
+    assert [r.s for r in f] == ["b.md", "b.md", "c/d.md"]
 
 
 def test_series(spark):
@@ -163,3 +163,82 @@ def test_registry_and_sinks(spark, tmp_path):
     assert list(sinks.text_rows(df, "tsv")) == ["1\ta"] and json.loads(next(iter(sinks.text_rows(df, "json")))) == {"x": 1, "y": "a"}
     with pytest.raises(ValueError):
         sinks.save(df, str(tmp_path / "z"), "xml")
+
+
+def plain_entries(raw):
+    """The frontmatter format line by line."""
+    out, i = {}, 0
+    lines = (raw or "").splitlines()
+
+    def bare(v):
+        return v.strip().strip('"').strip("'")
+
+    while i < len(lines):
+        line, i = lines[i], i + 1
+        key, colon, value = line.partition(":")
+        if not line.strip() or line.lstrip().startswith("#") or not colon:
+            continue
+        key, value = key.strip(), value.strip()
+        if len(value) > 1 and value[0] + value[-1] == "[]":
+            out[key] = [bare(v) for v in value[1:-1].split(",") if v.strip()]
+        elif value:
+            out[key] = bare(value)
+        else:
+            items = []
+            while i < len(lines) and lines[i][:1] in (" ", "\t"):
+                items += [bare(lines[i].strip()[1:])] if lines[i].strip().startswith("-") else []
+                i += 1
+            out[key] = items or ""
+    return list(out.items())
+
+
+def test_entries(spark):
+    r = random.Random(5)
+    parts = ["a: New York", "b:", "- lost", "c:", "  x: y", "d: [1, 2]", "# no", "plain", "  - one", "\t- 'two'", " -", "e: []", 'f: "q: r"', "a: again", "", "  ", "b: ['x', , \"y\"]", " g : [", "h:   ", "  # - z", "i: [[k]]", "  - [x]", ": v"]
+    raws = [None, "", *("\n".join(r.choices(parts, k=r.randrange(1, 9))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(raws)), "i int, raw string").select("i", entries(F.col("raw")).alias("e"))
+    for x in df.collect():
+        got = [(e.key, e["items"] if e.is_list else e.scalar) for e in x.e]
+        assert got == plain_entries(raws[x.i]) and all((e["items"] is None) != e.is_list for e in x.e), raws[x.i]
+
+
+def test_links_between_vaults(spark, tmp_path):
+    a = folder(tmp_path / "A", {"one.md": "[x](../B/two.md) [y]( sub/c.md) [z](../B/none.md) [[two]]", "sub/c.md": "[up](../../B/deep/d.md#p) [own](../one.md)", "two.md": ""})
+    b = folder(tmp_path / "B", {"two.md": "[back](../A/one.md)", "deep/d.md": "[out](../../../../../../../../../../x.md)"})
+    c = Corpus(vault.read_vaults(spark, a, b))
+    inv = {r.note_id: f"{r.vault}/{r.relpath}" for r in c.notes.collect()}
+    assert {(inv[r.src], inv[r.dst], r.kind) for r in c.links().collect()} == {("A/one.md", "A/two.md", "wiki"), ("A/one.md", "A/sub/c.md", "md"), ("A/sub/c.md", "B/deep/d.md", "md"), ("A/sub/c.md", "A/one.md", "md"), ("B/two.md", "A/one.md", "md")}
+    assert {(inv[r.src], inv[r.dst]) for r in c.links(True).collect()} == {("A/one.md", "A/two.md"), ("A/one.md", "A/sub/c.md"), ("A/sub/c.md", "A/one.md")}
+    assert {inv[r.note_id] for r in c.orphans().collect()} == {"B/two.md"}
+    side = Corpus(spark.createDataFrame([(1, 0, "A", "one.md", "one", "[x](../B/two.md)"), (2, 1, "B", "two.md", "two", "")], "note_id bigint, vault_ord int, vault string, relpath string, stem string, content string"))
+    assert [(r.src, r.dst) for r in side.links().collect()] == [(1, 2)]
+
+
+def test_one_scan_of_texts(spark, tmp_path):
+    """Links, orphans, proposals and health read the texts once, to write what they need."""
+    spark.createDataFrame([(1, 0, "A", "one.md", "one", "---\ntags: [x]\n---\n[[two]]"), (2, 0, "A", "two.md", "two", "---\ntags: [x]\n---\n")], "note_id bigint, vault_ord int, vault string, relpath string, stem string, content string").write.parquet(str(tmp_path / "texts"))
+    c = Corpus(spark.read.parquet(str(tmp_path / "texts")))
+    for df in (c.links(), c.orphans(), proposals.bonds(c), stack.stack_health(c), stack.health(c), c.tag_rows):
+        plan = df._jdf.queryExecution().toString()
+        assert "content#" not in plan.partition("== Physical Plan ==")[2], plan
+
+
+def test_machine_local_folder(spark, monkeypatch):
+    class Conf:
+        def get(self, *a):
+            return None
+
+    class Context:
+        master, applicationId = "spark://host:7077", "x"
+
+        def getConf(self):
+            return Conf()
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        shared.shared_dir(Session())
