@@ -17,14 +17,14 @@ class Graph:
     edges: DataFrame
 
 
-def undirected(links: DataFrame, vertices: DataFrame | None = None) -> Graph:
-    """From links (src, dst): both directions, distinct, loops dropped, and edges that leave the given vertices."""
+def undirected(links: DataFrame, vertices: DataFrame | None = None, closed: bool = False) -> Graph:
+    """From links (src, dst): both directions, distinct, loops dropped, and edges that leave the given vertices (closed: none does)."""
     one = links.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
     if vertices is None:
         vertices = links.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     else:
-        vertices = vertices.select("id").distinct()
-        one = one.join(vertices, F.col("a") == F.col("id"), "left_semi").join(vertices, F.col("b") == F.col("id"), "left_semi")
+        vertices = vertices.select("id") if closed else vertices.select("id").distinct()
+        one = one if closed else one.join(vertices, F.col("a") == F.col("id"), "left_semi").join(vertices, F.col("b") == F.col("id"), "left_semi")
     one = written(one, "graph")
     return Graph(vertices, one.select(F.explode(F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))).alias("e")).select("e.*"))
 
@@ -128,9 +128,14 @@ def clashes(g: Graph, colors: DataFrame) -> DataFrame:
     return g.edges.filter("src < dst").join(a, "src").join(b, "dst").filter("ca = cb").select("src", "dst")
 
 
-def bipartite(g: Graph) -> DataFrame:
+def odd_edge(g: Graph, colors: DataFrame) -> DataFrame:
+    """src and dst of the least edge within a colour: it closes an odd cycle. No row where there is none."""
+    return clashes(g, colors).agg(F.min(F.struct("src", "dst")).alias("e")).filter("e is not null").select("e.*")
+
+
+def bipartite(g: Graph, colors: DataFrame | None = None) -> DataFrame:
     """bipartite, a and b (vertices by colour), ratio a / max(b, 1), clashes (edges within a colour)."""
-    colors = parity(g)
+    colors = parity(g) if colors is None else colors
     c = colors.agg(F.count_if(F.col("color") == 0).alias("a"), F.count_if(F.col("color") == 1).alias("b"))
     return c.crossJoin(clashes(g, colors).agg(F.count(F.lit(1)).alias("clashes"))).select((F.col("clashes") == 0).alias("bipartite"), "a", "b", (F.col("a") / F.greatest("b", F.lit(1))).alias("ratio"), "clashes")
 

@@ -61,6 +61,17 @@ def supplier_notes(spark: SparkSession, d: str) -> Corpus:
     return Corpus(s.select(k.alias("note_id"), F.col("n_regionkey").alias("vault_ord"), F.col("r_name").alias("vault"), F.concat(name, F.lit(".md")).alias("relpath"), name.alias("stem"), content.alias("content")))
 
 
+def sibling_notes(spark: SparkSession, d: str) -> Corpus:
+    """Suppliers as notes that link to files of the next region's folder, some of which exist; regions are vaults side by side."""
+    r = table(spark, d, "region").select(F.col("r_regionkey").alias("next"), F.col("r_name").alias("other"))
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    s = table(spark, d, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, (F.col("n_regionkey") + 1) % 5 == F.col("next"))
+    k = F.col("s_suppkey")
+    name = F.concat(F.lit("supplier-"), k.cast("string"))
+    content = F.concat(F.lit("[a](../"), "other", F.lit("/supplier-"), (k * 3 + 2) % 100, F.lit(".md) [b]( supplier-"), (k * 7 + 1) % 100, F.lit(".md)"))
+    return Corpus(s.select(k.alias("note_id"), F.col("n_regionkey").alias("vault_ord"), F.col("r_name").alias("vault"), F.concat(name, F.lit(".md")).alias("relpath"), name.alias("stem"), content.alias("content")))
+
+
 def order_notes(spark: SparkSession, d: str) -> Corpus:
     """Orders as notes of four lines, two of which are tasks."""
     k = F.col("o_orderkey").cast("string")
@@ -79,7 +90,7 @@ def named_notes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def note_graph(c: Corpus) -> Graph:
-    return undirected(c.links().select("src", "dst"), c.notes.select(F.col("note_id").alias("id")))
+    return undirected(c.links().select("src", "dst"), c.facts.select(F.col("note_id").alias("id")), closed=True)
 
 
 # the same in SQL: parts of a WITH clause

@@ -115,6 +115,17 @@ def links_resolve_kinds(spark, d):
     return C.supplier_notes(spark, d).links()
 
 
+@query("""with s as (select s_suppkey as id, n_regionkey as vo from supplier join nation on s_nationkey = n_nationkey),
+h as (select id, vo, (id * 3 + 2) % 100 as t, (vo + 1) % 5 as tv, 0 as pos from s union all select id, vo, (id * 7 + 1) % 100, vo, 1 from s),
+m as (select h.id as src, s.id as dst, h.vo, s.vo as dv, row_number() over (partition by h.id, s.id order by h.pos) as rn from h join s on s.id = h.t and s.vo = h.tv where s.id <> h.id)
+select src, dst, 'supplier-' || dst as raw_key, 'md' as kind, vo = dv as within from m where rn = 1""")
+def links_between_vaults(spark, d):
+    c = C.sibling_notes(spark, d)
+    place = c.facts.select("note_id", "vault_ord")
+    a, b = (place.select(F.col("note_id").alias(x), F.col("vault_ord").alias(f"v_{x}")) for x in ("src", "dst"))
+    return c.links().join(a, "src").join(b, "dst").select("src", "dst", "raw_key", "kind", (F.col("v_src") == F.col("v_dst")).alias("within"))
+
+
 @query(f"with {C.WORDS} select key, count(distinct src) as n, string_agg(src, ' ' order by src) as sources from lost group by key")
 def links_unresolved(spark, d):
     u = C.word_notes(spark, d).unresolved().groupBy("key").agg(F.sort_array(F.collect_set("src")).alias("s"))
@@ -423,14 +434,14 @@ p as (select o.id as orphan, y.id as note_id, count(*) as score, string_agg(y.ta
 r as (select p.*, n.relpath as path, row_number() over (partition by orphan order by score desc, n.vo desc, n.relpath desc) as rank from p join notes n on n.id = p.note_id)
 select orphan, note_id, path, 'supplier-' || orphan as link_to, score, shared_tags, cast(rank as integer) as rank from r where rank <= 3""")
 def propose_bond(spark, d):
-    return proposals.bonds(C.supplier_notes(spark, d)).withColumn("shared_tags", F.array_join("shared_tags", " "))
+    return proposals.bonds(C.supplier_notes(spark, d)).withColumn("shared_tags", F.array_join("shared_tags", " ")).drop("vault_ord")
 
 
 @query(f"""with {C.SUPPLIERS}, h as (select id, 'tags' as key from notes union all select id, 'status' from notes where id % 2 = 0), c as (select key, count(*) / (select count(*) from notes) as share from h group by key having count(*) / (select count(*) from notes) >= 0.4)
-select n.id as note_id, string_agg(c.key, ' ' order by c.key) as keys, round(max(share), 9) as share from notes n cross join c where not exists (select 1 from h where h.id = n.id and h.key = c.key) group by n.id""")
+select n.id as note_id, string_agg(c.key, ' ' order by c.key) as keys, round_even(max(share), 3) as share from notes n cross join c where not exists (select 1 from h where h.id = n.id and h.key = c.key) group by n.id""")
 def propose_propagate(spark, d):
     m = proposals.missing_keys(C.supplier_notes(spark, d), 0.4)
-    return m.select("note_id", F.array_join("keys", " ").alias("keys"), F.round(F.array_max("shares"), 9).alias("share"))
+    return m.select("note_id", F.array_join("keys", " ").alias("keys"), F.array_max("shares").alias("share"))
 
 
 @query("select * from (values (1, 'missing targets', 'unresolved', 'stub'), (2, 'notes without links to them', 'orphans', 'bond'), (3, 'uneven metadata', 'properties', 'propagate')) t(position, finding, reading, proposal)")

@@ -5,7 +5,9 @@ import math
 import random
 from collections import deque
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from skein.operators import graph as G
 from skein.operators import spectral, stack
@@ -71,7 +73,7 @@ class Plain:
         return sum(b in self.adj[a] for a, b in itertools.combinations(n, 2))
 
 
-@pytest.mark.parametrize("seed,n,m", [(1, 12, 9), (2, 14, 22), (4, 30, 31)])
+@pytest.mark.parametrize("seed,n,m", [(1, 12, 9), (2, 14, 22), (3, 20, 60), (4, 30, 31)])
 def test_random_graphs(spark, seed, n, m):
     r = random.Random(seed)
     edges = [(r.randrange(n), r.randrange(n)) for _ in range(m)]
@@ -132,9 +134,34 @@ def test_both_ways_agree(spark):
     b = stack.layered_spectrum(x, [0.0, 0.5, 2.0], 4, 0, local_edges=0).orderBy("step").collect()
     for p, q in zip(a, b, strict=True):
         assert p.asDict() == pytest.approx(q.asDict(), abs=1e-9)
-    m = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, 4, 2).orderBy("k").collect()]
-    n = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, 4, 2, local_edges=0).orderBy("k").collect()]
-    assert m == pytest.approx(n, abs=1e-9) and m[0] == pytest.approx(1)
+    for k in (7, 8):
+        m = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, k, 2).orderBy("k").collect()]
+        n = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 20.0, k, 2, local_edges=0).orderBy("k").collect()]
+        assert len(m) == k and m == pytest.approx(n, abs=1e-9) and m[0] == pytest.approx(1)
+
+
+@pytest.mark.parametrize("shift", [1 << 31, 1 << 33, (1 << 61) + 7, -(1 << 40)])
+def test_large_ids(spark, shift):
+    """Arrays and tables agree for vertices of any bigint."""
+    e = [(a + shift, b + shift) for a, b in [(0, 1), (1, 2), (2, 3), (3, 0), (0, 2), (3, 4)]]
+    g = make(spark, e)
+    a, b = (spectral.spectrum(g.vertices, g.edges, iters=5, tol=0, local_edges=n).first().asDict() for n in (100, 0))
+    assert a == pytest.approx(b, abs=1e-9) and a["lambda_max"] > 3
+    m, n = ([r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 9.0, 4, 2, local_edges=n).orderBy("k").collect()] for n in (100, 0))
+    assert m == pytest.approx(n, abs=1e-9)
+    x, y = ({r.id: r.x for r in spectral.fiedler(g.vertices, g.edges, iters=5, tol=0, local_edges=n).collect()} for n in (100, 0))
+    assert x == pytest.approx(y, abs=1e-9) and set(x) == {i for p in e for i in p}
+    for i in x:
+        want = (i * spectral._M + 7919) % spectral._P / spectral._P - 0.5
+        assert spectral.start_array(np.array([i]), 1)[0] == pytest.approx(want) == spark.range(1).select(spectral.start_value(F.lit(i), 1).alias("v")).first().v
+
+
+def test_odd_edge(spark):
+    g = make(spark, cycle(5) + path(3))
+    u, v = G.odd_edge(g, G.parity(g)).first()
+    assert (u, v) == (2, 3)
+    even = make(spark, cycle(4))
+    assert G.odd_edge(even, G.parity(even)).count() == 0
 
 
 def test_dirac_and_layers(spark):

@@ -115,8 +115,8 @@ def test_proposals(spark, tmp_path):
     k = {inv[r.note_id]: r["keys"] for r in proposals.missing_keys(c, 0.4).collect()}
     assert k == {"delta": ["status"], "gamma": ["status"], "noise": ["status", "tags"]}
     assert proposals.apply_stubs(proposals.stubs(c), root) == 1 and proposals.apply_stubs(proposals.stubs(c), root) == 0
-    assert proposals.apply_bonds(proposals.bonds(c, 1), root) == 3
-    assert proposals.apply_keys(proposals.missing_keys(c, 0.4), c.notes, root) == 3
+    assert proposals.apply_bonds(proposals.bonds(c, 1), [root]) == 3
+    assert proposals.apply_keys(proposals.missing_keys(c, 0.4), c.notes, [root]) == 3
     assert (tmp_path / "v/noise.md").read_text().startswith("---\nstatus: TODO\ntags: TODO\n---\n")
     with pytest.raises(ValueError):
         proposals.inside(tmp_path / "v", "../v-x/a.md")
@@ -242,3 +242,33 @@ def test_machine_local_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         shared.shared_dir(Session())
+
+
+@pytest.mark.parametrize("heavy", [0, 2, 5, 1000])
+def test_bonds_against_brute_force(spark, heavy):
+    r = random.Random(heavy)
+    rows = []
+    for i in range(40):
+        tags = sorted({t for t in ("all", "most", "some", "few", f"t{i % 7}", f"s{i % 3}") if r.random() < {"all": 1, "most": 0.7, "some": 0.3, "few": 0.1}.get(t, 0.5)})
+        links = " ".join(f"[[n{r.randrange(40)}]]" for _ in range(r.randrange(2)))
+        rows.append((i, i % 2, "AB"[i % 2], f"n{i}.md", f"n{i}", f"---\ntags: [{', '.join(tags)}]\n---\n{links}", tags))
+    c = Corpus(spark.createDataFrame([x[:6] for x in rows], "note_id bigint, vault_ord int, vault string, relpath string, stem string, content string"))
+    orphans = {x.note_id for x in c.orphans().collect()}
+    want = []
+    for o in orphans:
+        near = [(len(set(x[6]) & set(rows[o][6])), x[1], x[3], x[0]) for x in rows if x[0] != o and set(x[6]) & set(rows[o][6])]
+        want += [(o, q, n, tuple(sorted(set(rows[q][6]) & set(rows[o][6]))), k) for k, (n, _, _, q) in enumerate(sorted(near, reverse=True)[:3], 1)]
+    got = [(x.orphan, x.note_id, x.score, tuple(x.shared_tags), x["rank"]) for x in proposals.bonds(c, 3, heavy).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 30
+
+
+def test_sinks_over_vaults(spark, tmp_path):
+    a = folder(tmp_path / "A", {"x.md": "---\ntags: [t]\n---\nhere", "same.md": "---\ntags: [t]\n---\nA"})
+    b = folder(tmp_path / "B", {"y.md": "---\ntags: [t, u]\n---\n", "same.md": "plain"})
+    c = Corpus(vault.read_vaults(spark, a, b))
+    assert proposals.apply_bonds(proposals.bonds(c, 1), [a, b]) == 3
+    assert "[[y]]" in (tmp_path / "A/x.md").read_text() and "[[x]]" in (tmp_path / "B/y.md").read_text() and "[[" not in (tmp_path / "B/same.md").read_text()
+    assert proposals.apply_keys(proposals.missing_keys(c, 0.5), c.notes, [a, b]) == 1
+    assert (tmp_path / "B/same.md").read_text().startswith("---\ntags: TODO\n") and (tmp_path / "A/same.md").read_text().endswith("A")
+    (share,) = [x.shares for x in proposals.missing_keys(Corpus(c.notes), 0.5).collect()] or [[0.75]]
+    assert share == [0.75]
