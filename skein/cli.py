@@ -1,22 +1,26 @@
 """A thin front end: python -m skein.cli COMMAND [key=value ...] [flag ...]
 
-vault=NAME is a registered folder, a path, or stack; vaults=A,B are several paths. format=text, json, csv or tsv.
+vault=NAME is a registered folder, a path, or stack (default: $SKEIN_VAULT, $OBSIDIAN_VAULT, the first registered);
+vaults=A,B are several paths. format=text, json, csv or tsv. stub, bond and propagate write with the flag apply alone.
 """
 
 from __future__ import annotations
 
+import os
 import sys
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import __version__
 from .functions import series
 from .functions.frontmatter import as_list
 from .operators import graph as G
 from .operators import proposals, spectral, stack
 from .operators.notes import Corpus
 from .sources import sinks, vault
+from .sources.shared import written as kept
 
 
 class Call:
@@ -48,12 +52,12 @@ class Call:
         return df.join(self.corpus.notes.select(F.col("note_id").alias(column), place.alias("file")), column).drop(column, "vault_ord", "relpath")
 
     def graph(self) -> G.Graph:
-        return G.undirected(self.corpus.links().select("src", "dst"), self.corpus.notes.select(F.col("note_id").alias("id")))
+        return G.undirected(self.corpus.links().select("src", "dst"), self.corpus.facts.select(F.col("note_id").alias("id")), closed=True)
 
     def layers(self) -> stack.Layers:
         if len(self.roots) < 2:
             raise SystemExit("two vaults are needed")
-        return stack.layered(self.corpus.notes.select(F.col("note_id").alias("id"), "vault_ord"), self.corpus.links().select("src", "dst"))
+        return stack.layered(self.corpus.facts.select(F.col("note_id").alias("id"), "vault_ord"), self.corpus.links().select("src", "dst"))
 
     def couplings(self, key: str) -> list[float]:
         return series.parse_sweep(self.args["sweep"]) if "sweep" in self.args else [self.number(key, 1.0, float)]
@@ -62,7 +66,7 @@ class Call:
 def tasks(c: Call) -> DataFrame:
     t = c.corpus.tasks
     if "daily" in c.flags:
-        t = t.filter(F.col("relpath").endswith(f"{c.args.get('date', date.today().isoformat())}.md"))
+        t = t.join(c.corpus.resolve_file(c.args.get("date", date.today().isoformat())), "note_id", "left_semi")
     for flag, done in (("todo", False), ("done", True)):
         if flag in c.flags:
             t = t.filter(F.col("done") == done)
@@ -99,12 +103,82 @@ def search(c: Call, context: bool = False) -> DataFrame:
     return c.named(c.corpus.search(c.args["query"], c.args.get("path", ""), "case" in c.flags, c.number("limit", 0), context))
 
 
-def layered(c: Call) -> DataFrame:
-    return stack.layered_spectrum(c.layers(), c.couplings("tperp"), c.number("iters", 200), c.number("tol", 1e-6, float))
+def vault_command(c: Call):
+    info = c.args.get("info", "name")
+    if info == "name":
+        return [os.path.basename(c.roots[0].rstrip("/"))]
+    if info == "path":
+        return [c.roots[0]]
+    if info in ("files", "size"):
+        of = vault.read_vaults(c.spark, *c.roots, content=False)
+        return of.agg((F.count(F.lit(1)) if info == "files" else F.coalesce(F.sum("size"), F.lit(0))).alias(info))
+    if info == "all":
+        return c.corpus.vault_info()
+    raise SystemExit(f"unknown info={info}")
 
 
-def sublattice(c: Call) -> DataFrame:
-    return stack.sublattice_spectrum(c.layers(), c.couplings("t_aa"), c.number("t_ab", 1.0, float), iters=c.number("iters", 200))
+def degree(c: Call):
+    g, top = c.graph(), c.number("top", 10)
+    hubs = [c.named(G.hubs(g, top), "id").orderBy(F.desc("degree"), "file")] if top else []
+    return [G.degree_stats(g), *hubs]
+
+
+def bipartite(c: Call):
+    g = c.graph()
+    colors = G.parity(g)
+    odd = c.named(c.named(G.odd_edge(g, colors), "src").withColumnRenamed("file", "odd_a"), "dst").withColumnRenamed("file", "odd_b")
+    return [G.bipartite(g, colors), odd]
+
+
+def connectivity(low: float, tol: float) -> str:
+    """What a second eigenvalue says of a graph."""
+    if low < -tol:
+        return "negative second eigenvalue: the largest one isn't converged; raise iters="
+    if low < 1e-4:
+        return "near zero: the graph is as good as disconnected"
+    return "small: two regions are joined by a narrow bridge" if low < 0.05 else "well connected"
+
+
+def localization(n_ipr: float) -> str:
+    return "extended over the graph" if n_ipr < 2 else "moderately localised" if n_ipr < 10 else "strongly localised"
+
+
+def spectrum(c: Call):
+    g, tol = c.graph(), c.number("tol", 1e-6, float)
+    rows = spectral.spectrum(g.vertices, g.edges, iters=c.number("iters", 120), tol=tol)
+    said = [connectivity(r.lambda_2, tol) for r in rows.take(1)]
+    return [rows, *said]
+
+
+def swept(c: Call, x: stack.Layers, edges: DataFrame, values: list[float], rows: DataFrame, weights, name: str):
+    """The sweep, its peak and, for a single value or with the flag verbose, the notes where the vector at the peak is largest."""
+    found = rows.orderBy("step").collect()  # one row a value
+    if not found:
+        return ["the stack is too small, or its layers aren't joined"]
+    peak = max(found, key=lambda r: (r.ipr, -r.step))
+    out = [rows.withColumn(name, F.element_at(F.array(*map(F.lit, values)), F.col("step") + 1)).orderBy("step"), f"peak ipr={peak.ipr:.4f} at {name}={values[peak.step]:.3f}, n_ipr={peak.n_ipr:.2f}: {localization(peak.n_ipr)}"]
+    if edges.filter("class <> 'intra'").isEmpty():
+        out.append("no edges between the layers: the coupling changes nothing")
+    if len(values) == 1 or "verbose" in c.flags:
+        vec = spectral.fiedler(x.vertices.select("id"), edges, weights(values[peak.step]), c.number("iters", 200), c.number("tol", 1e-6, float))
+        out.append(c.named(spectral.localized(vec, c.number("top", 10)), "id").orderBy(F.desc(F.abs("x")), "file"))
+    return out
+
+
+def layered(c: Call):
+    x, values = c.layers(), c.couplings("tperp")
+    rows = stack.layered_spectrum(x, values, c.number("iters", 200), c.number("tol", 1e-6, float))
+    return [stack.layer_counts(x), *swept(c, x, x.edges, values, rows, lambda t: {"intra": 1.0, "inter": t}, "tperp")]
+
+
+def sublattice(c: Call):
+    x, values = c.layers(), c.couplings("t_aa")
+    colors = stack.colors(x)
+    t_ab = 1.0 if "sweep" in c.args else c.number("t_ab", 1.0, float)
+    t_bb = c.number("t_bb", 1.0, float) if "t_bb" in c.args and "sweep" not in c.args else None
+    rows = stack.sublattice_spectrum(x, values, t_ab, colors, c.number("iters", 200), c.number("tol", 1e-6, float), t_bb)
+    edges = stack.sublattice_edges(x, colors)
+    return [stack.sublattice_counts(x, colors), stack.quality(x, colors), *swept(c, x, edges, values, rows, lambda t: stack.sublattice_weights(t, t_ab, t_bb), "t_aa")]
 
 
 def dos(c: Call) -> DataFrame:
@@ -123,7 +197,7 @@ def dirac(c: Call) -> DataFrame:
 
 
 COMMANDS = {
-    "vault": lambda c: c.corpus.vault_info(),
+    "vault": vault_command,
     "read": lambda c: c.of_note(c.corpus.parsed).select("content"),
     "files": lambda c: c.named(c.corpus.notes.select("note_id")).orderBy("file"),
     "links": lambda c: c.corpus.outgoing(c.note()).orderBy("pos").select("target"),
@@ -138,16 +212,16 @@ COMMANDS = {
     "tasks": tasks,
     "properties": properties,
     "property:get": properties,
-    "graph:degree": lambda c: G.degree_stats(c.graph()),
+    "graph:degree": degree,
     "graph:hubs": lambda c: c.named(G.hubs(c.graph(), c.number("top", 20)), "id").orderBy(F.desc("degree"), "file"),
     "graph:density": lambda c: G.density(c.graph()),
     "graph:triangles": lambda c: G.triangles(c.graph()),
     "graph:clustering": lambda c: G.clustering(c.graph()),
     "graph:girth": lambda c: G.girth(c.graph()),
-    "graph:bipartite": lambda c: G.bipartite(c.graph()),
+    "graph:bipartite": bipartite,
     "graph:components": lambda c: G.component_sizes(c.graph()).orderBy(F.desc("size"), "label").limit(20) if "verbose" in c.flags else G.component_stats(c.graph()),
     "graph:dirac": dirac,
-    "graph:spectrum": lambda c: spectral.spectrum((g := c.graph()).vertices, g.edges, iters=c.number("iters", 120), tol=c.number("tol", 1e-6, float)),
+    "graph:spectrum": spectrum,
     "graph:layered": layered,
     "graph:sublattice": sublattice,
     "graph:dos": dos,
@@ -160,6 +234,14 @@ COMMANDS = {
 }
 
 
+#: What the flag apply does; proposals are fetched before the first note is changed.
+APPLIED = {
+    "stub": lambda c: proposals.apply_stubs(kept(proposals.stubs(c.corpus, c.number("limit", 0)), "stubs"), c.roots[0]),
+    "bond": lambda c: proposals.apply_bonds(kept(proposals.bonds(c.corpus, c.number("k", 3)), "bonds"), c.roots),
+    "propagate": lambda c: proposals.apply_keys(kept(proposals.missing_keys(c.corpus, c.number("min_share", 0.5, float)), "keys"), c.corpus.facts, c.roots),
+}
+
+
 def parse(argv: list[str]) -> tuple[str, dict[str, str], set[str]]:
     """Command, key=value arguments and flags; "graph x" is one command."""
     words = [a for a in argv if "=" not in a]
@@ -174,26 +256,38 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
     if command in ("", "help"):
         print(__doc__, "Commands: " + ", ".join(["vaults", *COMMANDS]), sep="\n")
         return 0
+    if command in ("version", "--version"):
+        print(__version__)
+        return 0
     if command == "vaults":
         for k, p in (known := vault.registry(args.get("registry"))).items():
-            print(k, p)
+            name = os.path.basename(p.rstrip("/"))
+            print(f"{name}\t{p}\t{k}" if "verbose" in flags else name)
         return 0 if known else 1
     if command not in COMMANDS:
         print(f"unknown command {command}", file=sys.stderr)
         return 2
-    roots = args["vaults"].split(",") if "vaults" in args else vault.resolve_targets(args.get("vault"), args.get("registry"))
+    if missing := [p for p in args.get("vaults", "").split(",") if p and not os.path.isdir(os.path.expanduser(p))]:
+        print(f"no such folder: {', '.join(missing)}", file=sys.stderr)
+        return 2
+    roots = [os.path.expanduser(p) for p in args["vaults"].split(",") if p] if "vaults" in args else vault.resolve_targets(args.get("vault"), args.get("registry"))
     if not roots:
         print("no vault", file=sys.stderr)
         return 2
     spark = spark or SparkSession.builder.appName("skein").config("spark.ui.showConsoleProgress", "false").getOrCreate()
-    df = COMMANDS[command](Call(spark, args, flags, roots))
-    if "total" in flags:
-        print(df.count())
-    else:
-        for line in sinks.text_rows(df, args.get("format", "text")):
-            print(line)
-    if command == "stub" and "apply" in flags:
-        print(proposals.apply_stubs(df, roots[0]), "created")
+    c = Call(spark, args, flags, roots)
+    if command in APPLIED and "apply" in flags:
+        print(APPLIED[command](c), "written")
+        return 0
+    made = COMMANDS[command](c)
+    for part in made if isinstance(made, list) else [made]:
+        if isinstance(part, str):
+            print(part)
+        elif "total" in flags:
+            print(part.count())
+        else:
+            for line in sinks.text_rows(part, args.get("format", "text")):
+                print(line)
     return 0
 
 
