@@ -307,11 +307,19 @@ def spectral_spectrum(spark, d):
     return rounded(spectral.spectrum(g.vertices, g.edges, iters=24, tol=0))
 
 
-@query(f"""with recursive {C.LAYERS}, {power_sql("ks as (select unnest([0, 1, 2, 3, 4]) as k), w as (select k, src, dst, case class when 'intra' then 1.0::double else k * 0.5::double end as weight from ce cross join ks)", 16)} {SPECTRUM}""")
+SWEEP = power_sql("ks as (select unnest([0, 1, 2, 3, 4]) as k), w as (select k, src, dst, case class when 'intra' then 1.0::double else k * 0.5::double end as weight from ce cross join ks)", 16)
+
+
+@query(f"with recursive {C.LAYERS}, {SWEEP} {SPECTRUM}")
 def spectral_layered_sweep(spark, d):
     return rounded(stack.layered_spectrum(C.customer_supplier(spark, d), series.parse_sweep("0,2,5"), 16, 0))
 
 
+@query(f"with recursive {C.LAYERS}, {SWEEP} {SPECTRUM} order by ip.ipr desc, top.k limit 1")
+def spectral_sweep_peak(spark, d):
+    return rounded(stack.peak(stack.layered_spectrum(C.customer_supplier(spark, d), series.parse_sweep("0,2,5"), 16, 0)))
+
+
 @query(f"""with recursive {C.LAYERS}, {LAYER_COLORS}, {power_sql("ks as (select unnest([0, 1, 2]) as k), w as (select k, src, dst, case when class = 'intra' or p.color <> q.color then 1.0::double else 0.5 + k * 0.5::double end as weight from ce join col p on p.id = src join col q on q.id = dst cross join ks)", 16)} {SPECTRUM}""")
 def spectral_sublattice_sweep(spark, d):
     return rounded(stack.sublattice_spectrum(C.customer_supplier(spark, d), series.parse_sweep("0.5,1.5,3"), iters=16, tol=0))

@@ -88,3 +88,32 @@ def test_default_density(spark):
     z = (rho - rho.mean()) / rho.std()
     want = sorted((rho[i] for i in range(1, 99) if rho[i] > rho[i - 1] and rho[i] > rho[i + 1] and z[i] >= 2), reverse=True)[:5]
     assert [r.rho for r in registry.QUERIES["spectral_peaks_default"](spark, TABLES).orderBy(F.desc("rho")).collect()] == pytest.approx(want, abs=1e-6)
+    dos = registry.QUERIES["spectral_dos_default"](spark, TABLES).orderBy("bin").collect()
+    assert [r.energy for r in dos] == pytest.approx((top / 2 * (x + 1)).tolist(), abs=1e-6) and [r.rho for r in dos] == pytest.approx(rho.tolist(), abs=1e-6)
+
+
+def test_localized(spark):
+    """The default Fiedler vector against the same iteration on a matrix."""
+    g = C.part_supplier(spark, TABLES)
+    ids, lap = dense(g.vertices, g.edges, lambda r: 1.0)
+
+    def power(x, step, deflate):
+        value = 0.0
+        for k in range(200):
+            x = x - x.mean() if deflate else x
+            x = x / np.sqrt(x @ x)
+            y = step(x)
+            new = x @ y
+            if k and abs(new - value) < 1e-6 * (abs(value) + 1):
+                value = new
+                break
+            value, x = new, y
+        x = x - x.mean() if deflate else x
+        return value, x / np.sqrt(x @ x)
+
+    top, _ = power(spectral.start_array(ids), lambda x: lap @ x, False)
+    _, vec = power(spectral.start_array(ids, 1), lambda x: top * x - lap @ x, True)
+    got = {r.id: r.x for r in spectral.fiedler(g.vertices, g.edges).collect()}
+    assert [got[i] for i in ids.tolist()] == pytest.approx(vec.tolist(), abs=1e-6)
+    best = registry.QUERIES["spectral_localized"](spark, TABLES).collect()
+    assert [r.id for r in best] == sorted(got, key=lambda i: (-abs(got[i]), i))[:10]
