@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 SKIPPED = {".obsidian", ".git", ".trash", "node_modules", ".venv", "__pycache__"}
-BATCH = 256
+BATCH, BATCH_BYTES = 4096, 32 << 20
 
 
 def registry_path() -> Path:
@@ -69,17 +69,57 @@ def resolve_targets(name: str | None = None, path: str | None = None) -> list[st
     return [one] if one else []
 
 
-def walk(root: str):
-    """(relative path, absolute path) of each note, in code-point order."""
+def noted(folder: str) -> bool:
+    return folder not in SKIPPED and not folder.startswith(".")
+
+
+def walk(root: str, prefix: str = ""):
+    """(relative path, whole path, bytes) of each note below a prefix, in code-point order. Folders off the prefix aren't entered.
+
+    root is a folder, or a URI of a file system that pyarrow knows (hdfs, s3, gs, file).
+    """
     found = []
-    for folder, inner, files in os.walk(root):
-        inner[:] = [d for d in inner if d not in SKIPPED and not d.startswith(".")]
-        found += [os.path.join(folder, f) for f in files if f.endswith(".md")]
-    yield from sorted((os.path.relpath(p, root).replace(os.sep, "/"), p) for p in found)
+    if "://" in root:
+        from pyarrow.fs import FileSelector, FileSystem, FileType
+
+        fs, top = FileSystem.from_uri(root)
+        todo = [top.rstrip("/")]
+        while todo:
+            for f in fs.get_file_info(FileSelector(todo.pop())):
+                rel = f.path[len(top.rstrip("/")) + 1 :]
+                if f.type == FileType.Directory and noted(f.base_name) and (prefix.startswith(rel + "/") or (rel + "/").startswith(prefix)):
+                    todo.append(f.path)
+                elif f.type == FileType.File and f.base_name.endswith(".md") and rel.startswith(prefix):
+                    found.append((rel, f"{root.rstrip('/')}/{rel}", f.size))
+    else:
+        for folder, inner, files in os.walk(root):
+            at = os.path.relpath(folder, root).replace(os.sep, "/")
+            at = "" if at == "." else at + "/"
+            inner[:] = [d for d in inner if noted(d) and (prefix.startswith(f"{at}{d}/") or f"{at}{d}/".startswith(prefix))]
+            found += [(at + f, os.path.join(folder, f), None) for f in files if f.endswith(".md") and (at + f).startswith(prefix)]
+        found = [(rel, full, size_of(full)) for rel, full, _ in found]
+    yield from sorted(found)
+
+
+def size_of(path: str) -> int | None:
+    try:
+        return os.path.getsize(path)
+    except OSError:
+        return None
+
+
+def content_of(path: str) -> bytes:
+    if "://" not in path:
+        return Path(path).read_bytes()
+    from pyarrow.fs import FileSystem
+
+    fs, at = FileSystem.from_uri(path)
+    with fs.open_input_file(at) as f:
+        return f.read()
 
 
 class Files(InputPartition):
-    def __init__(self, rows: list[tuple[int, int, str, str, str]]):
+    def __init__(self, rows: list[tuple]):
         self.rows = rows
 
 
@@ -90,31 +130,34 @@ class VaultReader(DataSourceReader):
         self.prefix = options.get("prefix", "")
 
     def partitions(self):
-        rows, seen = [], set()
+        """Files in order, cut after BATCH_BYTES or BATCH files."""
+        rows, seen, parts, held = [], set(), [], 0
         for o, root in enumerate(self.roots):
-            for rel, full in walk(root):
-                real = os.path.realpath(full)
+            for rel, full, size in walk(root, self.prefix):
+                real = full if "://" in full else os.path.realpath(full)
                 if real in seen:  # a folder within another
                     continue
                 seen.add(real)
-                rows.append((len(rows), o, root, rel, full))
-        rows = [r for r in rows if r[3].startswith(self.prefix)]
-        return [Files(rows[i : i + BATCH]) for i in range(0, len(rows), BATCH)] or [Files([])]
+                if rows and (held + (size or 0) > BATCH_BYTES or len(rows) == BATCH):
+                    parts.append(Files(rows))
+                    rows, held = [], 0
+                rows.append((len(seen) - 1, o, root, rel, full, size))
+                held += size or 0
+        return [*parts, Files(rows)]
 
     def read(self, partition):
-        for i, o, root, rel, full in partition.rows:
-            size = text = None
-            try:
-                size = os.path.getsize(full)
-                if self.content:
-                    text = Path(full).read_bytes().decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
-            except OSError:
-                text = ""
-            yield i, o, os.path.basename(root.rstrip("/")), rel, Path(rel).stem, size, text, os.path.realpath(root)
+        for i, o, root, rel, full, size in partition.rows:
+            text = None
+            if self.content:
+                try:
+                    text = content_of(full).decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n")
+                except OSError:
+                    text = ""
+            yield i, o, os.path.basename(root.rstrip("/")), rel, Path(rel).stem, size, text, root.rstrip("/") if "://" in root else os.path.realpath(root)
 
 
 class VaultSource(DataSource):
-    """Options: paths (comma separated) or path; content=false reads names and sizes alone; prefix of relative paths.
+    """Options: paths (comma separated) or path, folders or URIs; content=false reads names and sizes alone; prefix of relative paths.
 
     Filters aren't pushed down: Spark keeps the reader of a DataFrame, and a filter of one query would stay for the next.
     """

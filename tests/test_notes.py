@@ -49,6 +49,10 @@ def test_source(spark, notes):
     assert "�" in c.read("archive/day.md").first().content
     assert {r.relpath for r in vault.read_vaults(spark, root, content=False, prefix="daily/").collect()} == {"daily/day.md"}
     assert c.notes.count() == vault.read_vaults(spark, root, root + "/daily").count()
+    uri = vault.read_vaults(spark, f"file://{root}/")
+    assert {(r.relpath, r.size, r.content) for r in uri.collect()} == {(r.relpath, r.size, r.content) for r in c.notes.collect()}
+    assert {r.relpath for r in vault.read_vaults(spark, f"file://{root}", prefix="daily/d").collect()} == {"daily/day.md"} == {x for x, _, _ in vault.walk(root, "da")}
+    assert Corpus(uri).links().count() == c.links().count()
     r = c.vault_info().first()
     assert r.files == 12
 
