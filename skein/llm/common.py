@@ -10,13 +10,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ..sources.shared import fresh_path, shared_dir, written  # noqa: F401
+from ..sources import shared
+from ..sources.shared import fresh_path, shared_dir  # noqa: F401
 
-#: Bytes of text that one vectorised step works on; bounds a Python worker's memory. Spark itself bounds the bytes of a batch.
+#: Bytes of text that one vectorised step works on; bounds a Python worker's memory.
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 1 << 15
 
 
+#: Rows of whole texts that Spark hands to a Python worker at once while a table is written; its default is meant for narrow rows.
+BATCH_ROWS = 1000
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """As shared.written, in smaller Arrow batches; the session has its own setting back when the table is there."""
+    spark, setting = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        return shared.written(df, name)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def key_type(df: DataFrame, column: str) -> str:
     """The type in which an id travels: whole numbers as bigint, strings and any others as they are."""
     kind = df.select(column).schema[0].dataType
@@ -37,12 +53,13 @@ def spread(df: DataFrame, rows: int, of: int, *columns: str) -> DataFrame:
     return df.repartition(min(MOST_TASKS, max(1, -(-rows // of))), *columns)
 
 
-def running(df: DataFrame, group: str, order: list[str], amount: str, name: str) -> DataFrame:
-    """df with the sum of amount over the rows of its group before each, in order.
+def running(df: DataFrame, group: str, order: list[str], amount: str, name: str, most: bool = False) -> DataFrame:
+    """df with the sum (or the most, null where there is none) of amount over the rows of its group before each, in order.
 
     Rows are sorted in ranges that cut large groups, too; what a range adds to the next is one row a range. df should be a
     written table: its ranges are found in a pass of their own.
     """
+    fold = F.max if most else F.sum
     part, inner, before = (fresh(df, x) for x in ("rg_part", "rg_inner", "rg_before"))
     r = written(df.repartitionByRange(group, *order).withColumn(part, F.spark_partition_id()), "ranges")
     w = W.partitionBy(part, group).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -50,10 +67,12 @@ def running(df: DataFrame, group: str, order: list[str], amount: str, name: str)
     ends = r.groupBy(F.col(part).alias("p")).agg(F.min(F.struct(group)).alias("lo"), F.max(F.struct(group)).alias("hi"))
     ends = ends.select("p", F.explode(F.array_distinct(F.array(F.col(f"lo.{group}"), F.col(f"hi.{group}")))).alias("g"))
     same = (F.col(part) == F.col("p")) & F.col(group).eqNullSafe(F.col("g"))
-    total = r.join(F.broadcast(ends), same).groupBy("p", "g").agg(F.sum(amount).alias(inner))
-    carried = total.select("p", "g", F.sum(inner).over(W.partitionBy("g").orderBy("p").rowsBetween(W.unboundedPreceding, -1)).alias(before))
+    total = r.join(F.broadcast(ends), same).groupBy("p", "g").agg(fold(amount).alias(inner))
+    carried = total.select("p", "g", fold(inner).over(W.partitionBy("g").orderBy("p").rowsBetween(W.unboundedPreceding, -1)).alias(before))
     out = r.join(F.broadcast(carried), same, "left")
-    return out.select(*df.columns, (F.coalesce(F.sum(amount).over(w), F.lit(0)) + F.coalesce(before, F.lit(0))).alias(name))
+    own = fold(amount).over(w)
+    both = F.coalesce(F.greatest(own, before), own, before) if most else F.coalesce(own, F.lit(0)) + F.coalesce(before, F.lit(0))
+    return out.select(*df.columns, both.alias(name))
 
 
 def fresh(df: DataFrame, base: str) -> str:

@@ -7,7 +7,7 @@ hold it (texts are compared as normalised, by length and a 64-bit hash); lower o
 three discounts an order and language (Chen and Goodman). The model is one table in the shared folder, n-grams of all
 orders with count, log probability, and total and back-off weight of their context. A task that scores holds a
 language's rows as arrays sorted by hash (a bijection of order and n-gram, so no two collide), and looks each distinct
-n-gram of a batch up once. Of a language of more than MODEL_ROWS rows it holds only those that its own chunk of the texts
+n-gram of a batch up once. Of a model of more than MODEL_ROWS rows it holds only those that its own chunk of the texts
 needs: each chunk's distinct n-grams are joined with the table, and what they may back off to, order by order.
 
 A text has two scores, mean negative log probabilities a byte. The first is under the model as it is. The second is held
@@ -41,8 +41,10 @@ from .common import SLICE_BYTES, SLICE_ROWS, fresh, fresh_path, key, key_type, m
 
 ORDER = 6
 BANDS, NOISE, STEP = (2.0, 2.8), 2.5, 1e-4
-#: Rows of a language's model that a worker holds at most, 32 bytes each.
+#: Rows of all languages' models that a worker holds at most, 32 bytes each.
 MODEL_ROWS = 8 << 20
+#: Bytes of text that are scored in one step; a step takes some 60 bytes for each.
+SCORED_BYTES = 1 << 20
 #: Bytes of the texts that are scored together where a model is larger.
 CHUNK = 32 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
@@ -123,8 +125,8 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "n_bytes", "h").agg(F.first("body").alias("body"))
 
 
-def unpacked(batch: pa.RecordBatch):
-    """lang and text of consecutive rows of a batch with at most SLICE_BYTES of text; a longer text stands alone, whole."""
+def unpacked(batch: pa.RecordBatch, size: int = SLICE_BYTES):
+    """lang and text of consecutive rows of a batch with at most `size` bytes of text; a longer text stands alone, whole."""
     import zstandard
 
     d = zstandard.ZstdDecompressor()
@@ -132,7 +134,7 @@ def unpacked(batch: pa.RecordBatch):
     start = 0
     while start < batch.num_rows:
         before = ends[start - 1] if start else 0
-        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, before + SLICE_BYTES, "right"))))
+        stop = max(start + 1, min(start + SLICE_ROWS, int(np.searchsorted(ends, before + size, "right"))))
         b = batch.slice(start, stop - start)
         text = pa.array([d.decompress(x).decode() for x in b.column("body").to_pylist()], pa.string())
         yield pa.RecordBatch.from_arrays([b.column("lang"), text], ["lang", "text"])
@@ -202,13 +204,25 @@ def model(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return reduce(DataFrame.union, out)
 
 
-def stored(df: DataFrame, name: str) -> str:
-    """Writes a table whose files each hold few languages; returns its path."""
-    path = fresh_path(df.sparkSession, name)
-    df.repartitionByRange("lang", "order", "gram").sortWithinPartitions("lang").write.parquet(path)
+def stored(df: DataFrame) -> str:
+    """Writes the model as sorted hash arrays, whose files each hold few languages; returns its path."""
+    path = fresh_path(df.sparkSession, "model")
+
+    def hashed(batches):
+        for b in batches:
+            h = HashArrays.key(b.column("gram").to_numpy(), b.column("order").to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(h), clipped(b.column("n")), b.column("logp"), clipped(b.column("total")), b.column("logb")], ["lang", *HashArrays.FIELDS])
+
+    made = df.mapInArrow(hashed, "lang string, h bigint, n int, logp double, total int, logb double")
+    made.repartitionByRange("lang", "h").sortWithinPartitions("lang", "h").write.parquet(path)
     return path
 
 
+def clipped(count: pa.Array) -> pa.Array:
+    """A count as 32 bits: it's only compared with those of one text."""
+    return pc.min_element_wise(count, pa.scalar(np.iinfo(np.int32).max, pa.int64())).cast(pa.int32())
+
+
 def pairs(text: pa.Array, order: int, size: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Text, n-gram and number of occurrences of each n-gram of each text, sorted; and bytes by text. At most 2 ** 16 texts."""
     if len(text) == 1:  # it may be long
@@ -226,23 +240,28 @@ _LOW = np.uint64((1 << 48) - 1)
 class HashArrays:
     """Rows of one language's model as arrays: hashes in order, and n, logp, total and logb."""
 
+    FIELDS = ("h", "n", "logp", "total", "logb")
+
     def __init__(self, order: int, t: pa.Table):
         self.order = order
-        h = self.key(t.column("gram").to_numpy().view(np.uint64), t.column("order").to_numpy())
-        at = np.argsort(h)
-        most = np.iinfo(np.int32).max  # counts are only compared with those of one text
-        self.keys = h[at]
-        self.n, self.total = (np.minimum(t.column(c).to_numpy(), most).astype(np.int32)[at] for c in ("n", "total"))
-        self.logp, self.logb = (t.column(c).to_numpy()[at] for c in ("logp", "logb"))
+        self.keys, self.n, self.logp, self.total, self.logb = (t.column(c).to_numpy() for c in self.FIELDS)
+        if (self.keys[1:] <= self.keys[:-1]).any():
+            raise ValueError("the model isn't in order")
+
+    @classmethod
+    def of_rows(cls, order: int, t: pa.Table) -> "HashArrays":
+        h = cls.key(t.column("gram").to_numpy(), t.column("order").to_numpy())
+        made = pa.table({"h": h, "n": clipped(t.column("n").combine_chunks()), "logp": t.column("logp"), "total": clipped(t.column("total").combine_chunks()), "logb": t.column("logb")})
+        return cls(order, made.take(pa.array(np.argsort(h))))
 
     @staticmethod
     def key(gram: np.ndarray, order) -> np.ndarray:
-        return mix(gram | np.asarray(order, np.uint64) << np.uint64(56))
+        return mix(gram.view(np.uint64) | np.asarray(order, np.uint64) << np.uint64(56)).view(np.int64)
 
     def find(self, gram: np.ndarray, k: int) -> np.ndarray:
         """Places of n-grams of order k, each of which the model has."""
         found = pa.array(gram.view(np.int64)).dictionary_encode()
-        h = self.key(found.dictionary.to_numpy().view(np.uint64), k)
+        h = self.key(found.dictionary.to_numpy(), k)
         at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
         if len(h) and (not len(self.keys) or (self.keys[at] != h).any()):
             raise ValueError("the model lacks an n-gram of a text that it should have counted")
@@ -290,7 +309,7 @@ def loaded(path: str, lang: str, order: int) -> HashArrays:
         for other in [k for k in _MODELS if k[0] != path]:
             del _MODELS[other]
         fs, at = FileSystem.from_uri(path if "://" in path else f"file://{path}")
-        made = HashArrays(order, pq.read_table(at, columns=["gram", "order", "n", "logp", "total", "logb"], filesystem=fs, filters=[("lang", "=", lang)], partitioning=None))
+        made = HashArrays(order, pq.read_table(at, columns=list(HashArrays.FIELDS), filesystem=fs, filters=[("lang", "=", lang)], partitioning=None, use_threads=False))
         while _MODELS and sum(len(m.keys) for m in _MODELS.values()) + len(made.keys) > MODEL_ROWS:
             del _MODELS[next(iter(_MODELS))]
         _MODELS[key] = made
@@ -305,8 +324,7 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
     """d, k, lang, n_bytes, h (hash of the normalised text), score and held of each document; null scores where there are no bytes."""
     table = model(docs, order)
     base, first = _base(docs), f"d {key_type(docs, 'doc_id')}, k bigint"
-    largest = table.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
-    if largest > model_rows:
+    if table.count() > model_rows:
         def named(batches):
             for batch in batches:
                 for b in slices(batch):
@@ -315,11 +333,11 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
                     yield pa.RecordBatch.from_arrays([b.column("d"), b.column("k"), b.column("lang"), pc.binary_length(text).cast(pa.int64()), h], ["d", "k", "lang", "n_bytes", "h"])
 
         return base.mapInArrow(named, first + _SCORED).join(chunked_scores(docs, table, order), ["lang", "n_bytes", "h"], "left").select("d", "k", "lang", "n_bytes", "h", "score", "held")
-    path = stored(table, "model")
+    path = stored(table)
 
     def run(batches):
         for batch in batches:
-            for b in slices(batch):
+            for b in slices(batch, size=SCORED_BYTES):
                 text = normal(b.column("text"))
                 size, score, held = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows), np.zeros(b.num_rows)
                 for lang, rows in by_language(b):
@@ -359,10 +377,10 @@ def chunked_scores(docs: DataFrame, table: DataFrame, order: int, chunk: int = C
         wanted = got[-1].filter("n <= most").groupBy("lang", "chunk", shorter).agg(F.count(F.lit(1)).alias("most"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        m, out = HashArrays(order, right), []
+        m, out = HashArrays.of_rows(order, right), []
         for batch in left.to_batches():
             size = 0
-            for b in unpacked(batch):
+            for b in unpacked(batch, SCORED_BYTES):
                 _, score, held = m.score(b.column("text"))
                 own = batch.slice(size, b.num_rows)
                 size += b.num_rows

@@ -728,5 +728,9 @@ def test_ids_are_exact(spark, encoder, ids, kind):
 def test_session_is_left_alone(spark):
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    licenses.scan_licenses(frame(spark, ["x"])).collect()
-    assert spark.conf.get(name) == before
+    for rows in (before, "77", "0"):
+        spark.conf.set(name, rows)
+        licenses.scan_licenses(frame(spark, ["x"])).collect()
+        neardup.near_duplicates(frame(spark, ["x"])).collect()
+        assert spark.conf.get(name) == rows
+    spark.conf.set(name, before)
