@@ -18,10 +18,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .bpe import END_OF_DOCUMENT, VOCABULARY, encoder, vocabulary
-from .common import fresh_path, slices, written
+from .common import fresh_path, running, slices, written
 from .tokenids import id_type
 
 BLOCK = 1 << 22
@@ -97,16 +96,15 @@ def scan(files: DataFrame, separator: int = END_OF_DOCUMENT, block: int = BLOCK)
 
     n = max(1, files.sparkSession.sparkContext.defaultParallelism)
     blocks = ranges.repartition(n, "file", "block").mapInArrow(search, "file string, block bigint, n_ids bigint, found array<bigint>")
-    before = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    scanned = blocks.select(
-        "*",
-        F.coalesce(F.sum(F.size("found")).over(before), F.lit(0)).cast("bigint").alias("ordinal"),
-        F.coalesce(F.max(F.element_at("found", F.when(F.size("found") > 0, F.lit(-1)).otherwise(F.lit(None).cast("int")))).over(before), F.lit(-1)).cast("bigint").alias("carry"),
-        F.lead("block").over(W.partitionBy("file").orderBy("block")).isNull().alias("last"),
-    )
+    blocks = written(blocks, "blocks")
+    # the scan moves three numbers a block, in ranges that cut a file of many blocks, too
+    some = blocks.select("file", "block", F.size("found").alias("n"), F.element_at("found", F.when(F.size("found") > 0, F.lit(-1)).otherwise(F.lit(None).cast("int"))).alias("last"))
+    known = running(written(running(some, "file", ["block"], "n", "ordinal"), "ordinals"), "file", ["block"], "last", "carry", most=True)
+    scanned = blocks.join(known, ["file", "block"]).withColumn("carry", F.coalesce("carry", F.lit(-1).cast("bigint")))
     # the end of a file closes what the last separator left open
-    tail = F.coalesce(F.element_at("found", F.when(F.size("found") > 0, F.lit(-1)).otherwise(F.lit(None).cast("int"))), F.col("carry"))
-    scanned = scanned.withColumn("found", F.when(F.col("last") & (tail < F.col("n_ids") - 1), F.concat("found", F.array("n_ids"))).otherwise(F.col("found")))
+    ends = (F.col("block") + 1) * block >= F.col("n_ids")
+    open_ = F.coalesce("last", "carry") < F.col("n_ids") - 1
+    scanned = scanned.withColumn("found", F.when(ends & open_, F.concat("found", F.array("n_ids"))).otherwise(F.col("found")))
     each = F.transform("found", lambda p, i: F.struct((F.col("ordinal") + i).alias("doc_ordinal"), F.when(i == 0, F.col("carry")).otherwise(F.col("found")[i - 1]).alias("prior"), p.alias("p")))
     rows = scanned.select("file", "n_ids", F.inline(each))
     return rows.select("file", "doc_ordinal", (F.col("prior") + 1).alias("start_token"), (F.col("p") - F.col("prior") - 1).alias("n_tokens"), (F.col("p") < F.col("n_ids")).alias("terminated"))
