@@ -36,6 +36,8 @@ STRIPS, LEAF = (64, 128), 512
 WORDS = BITS // 64
 #: Fingerprints that one task filters: some seconds of work, though their bytes are few.
 FILTERED = 1 << 13
+#: Fingerprints of a list that are compared all with all; of a larger one, groups of copies are taken out first.
+LARGE = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -166,27 +168,42 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def linked(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Edges (i, j) that join the same rows as all pairs within radius do."""
-    near = np.zeros(len(x), bool)
-    for at in range(0, len(x), 256):
-        for to in range(at, len(x), 4096):
-            hit = distances(x[at : at + 256], x[to : to + 4096]) <= radius
+def grown(x: np.ndarray, root: int, left: np.ndarray, radius: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Edges from root to all that links of radius reach from it among `left`, and those that they don't."""
+    front, out = np.array([root]), []
+    while len(front) and len(left):
+        reached = np.zeros(len(left), bool)
+        for at in range(0, len(front), 256):
+            some = np.flatnonzero(~reached)
+            for to in range(0, len(some), 4096):
+                reached[some[to : to + 4096]] |= (distances(x[front[at : at + 256]], x[left[some[to : to + 4096]]]) <= radius).any(0)
+        front, left = left[reached], left[~reached]
+        out += [(root, v) for v in front.tolist()]
+    return out, left
+
+
+def linked(x: np.ndarray, radius: int, large: int = LARGE) -> list[tuple[int, int]]:
+    """Edges (i, j) that join the same rows as all pairs within radius do.
+
+    A large list is so for the copies of some text: these go first, each group in a time that follows the list's length.
+    """
+    left, out, missed = np.arange(len(x)), [], 0
+    while len(left) > large and missed < 16:
+        root = int(left[missed * len(left) // 16])
+        more, rest = grown(x, root, left[left != root], radius)
+        missed += len(more) < len(left) // 64
+        left, out = rest, out + more
+    near = np.zeros(len(left), bool)
+    for at in range(0, len(left), 256):
+        for to in range(at, len(left), 4096):
+            hit = distances(x[left[at : at + 256]], x[left[to : to + 4096]]) <= radius
             i, j = np.nonzero(hit)
             off = at + i != to + j
             near[at + i[off]] = near[to + j[off]] = True
-    left, out = np.flatnonzero(near), []
+    left = left[near]
     while len(left):
-        front, left = left[:1], left[1:]
-        root = int(front[0])
-        while len(front) and len(left):
-            reached = np.zeros(len(left), bool)
-            for at in range(0, len(front), 256):
-                some = np.flatnonzero(~reached)
-                for to in range(0, len(some), 4096):
-                    reached[some[to : to + 4096]] |= (distances(x[front[at : at + 256]], x[left[some[to : to + 4096]]]) <= radius).any(0)
-            front, left = left[reached], left[~reached]
-            out += [(root, v) for v in front.tolist()]
+        more, left = grown(x, int(left[0]), left[1:], radius)
+        out += more
     return out
 
 

@@ -187,6 +187,34 @@ def test_near_duplicates_against_all_pairs(spark):
     assert exact == {i: n for i, n in enumerate(label) if i != n}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_large_lists(seed):
+    """Groups of copies taken out first give the components of all pairs."""
+    r = np.random.default_rng(seed)
+    centres = r.integers(0, 256, (5, 32), dtype=np.uint8)
+    rows = [c ^ np.packbits(r.random(256) < 0.07) for c, n in zip(centres, (400, 250, 3, 2, 1)) for _ in range(n)]
+    x = np.array(rows + list(r.integers(0, 256, (60, 32), dtype=np.uint8)))[r.permutation(716)].view(np.uint64)
+    parts = []
+    for large in (50, 10_000):
+        label = list(range(len(x)))
+
+        def top(i):
+            while label[i] != i:
+                i = label[i]
+            return i
+
+        for i, j in neardup.linked(x, neardup.RADIUS, large):
+            label[top(i)] = top(j)
+        groups = defaultdict(set)
+        for i in range(len(x)):
+            groups[top(i)].add(i)
+        parts.append(sorted(map(sorted, groups.values())))
+    near = neardup.distances(x, x) <= neardup.RADIUS
+    assert parts[0] == parts[1] and max(map(len, parts[0])) >= 300
+    where = {i: n for n, g in enumerate(parts[0]) for i in g}
+    assert all(where[i] == where[j] for i, j in zip(*np.nonzero(near)))
+
+
 def test_plan_keeps_its_promise():
     r = np.random.default_rng(1)
     for n in (2000, 60_000):
