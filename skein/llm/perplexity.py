@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SLICE_BYTES, SLICE_ROWS, fresh, fresh_path, key, key_type, mix, slices, text_key, written
+from .common import SLICE_BYTES, SLICE_ROWS, fresh, fresh_path, key, key_type, mix, release, slices, text_key, written
 
 ORDER = 6
 BANDS, NOISE, STEP = (2.0, 2.8), 2.5, 1e-4
@@ -140,6 +140,7 @@ def unpacked(batch: pa.RecordBatch, size: int = SLICE_BYTES):
         yield pa.RecordBatch.from_arrays([b.column("lang"), text], ["lang", "text"])
         pa.default_memory_pool().release_unused()
         start = stop
+    release()
 
 
 def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -171,6 +172,8 @@ def counted(docs: DataFrame, order: int = ORDER) -> DataFrame:
                         yield from out()
                         held, size = {}, 0
         yield from out()
+        held.clear()
+        release()
 
     return distinct_texts(docs).mapInArrow(run, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
@@ -313,7 +316,7 @@ def loaded(path: str, lang: str, order: int) -> HashArrays:
         while _MODELS and sum(len(m.keys) for m in _MODELS.values()) + len(made.keys) > MODEL_ROWS:
             del _MODELS[next(iter(_MODELS))]
         _MODELS[key] = made
-        pa.default_memory_pool().release_unused()
+        release()
     return _MODELS[key]
 
 
