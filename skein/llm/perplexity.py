@@ -43,8 +43,8 @@ ORDER = 6
 BANDS, NOISE, STEP = (2.0, 2.8), 2.5, 1e-4
 #: Rows of all languages' models that a worker holds at most, 32 bytes each.
 MODEL_ROWS = 8 << 20
-#: Bytes of text that are scored in one step; a step takes some 60 bytes for each.
-SCORED_BYTES = 1 << 20
+#: Bytes of text that are scored in one step; a step takes some 40 bytes for each.
+SCORED_BYTES = 2 << 20
 #: Bytes of the texts that are scored together where a model is larger.
 CHUNK = 32 << 20
 #: Distinct n-grams that a counting task holds before it passes them on.
@@ -262,39 +262,70 @@ class HashArrays:
         return mix(gram.view(np.uint64) | np.asarray(order, np.uint64) << np.uint64(56)).view(np.int64)
 
     def find(self, gram: np.ndarray, k: int) -> np.ndarray:
-        """Places of n-grams of order k, each of which the model has."""
-        found = pa.array(gram.view(np.int64)).dictionary_encode()
-        h = self.key(found.dictionary.to_numpy(), k)
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
+        """Places of distinct n-grams of order k, each of which the model has."""
+        h = self.key(gram, k)
+        order = np.argsort(h)  # near keys one after another
+        at = np.empty(len(h), np.int64)
+        at[order] = np.minimum(np.searchsorted(self.keys, h[order]), max(0, len(self.keys) - 1))
         if len(h) and (not len(self.keys) or (self.keys[at] != h).any()):
             raise ValueError("the model lacks an n-gram of a text that it should have counted")
-        return at[found.indices.to_numpy()]
+        return at
 
-    def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes of each normalised text, and its two scores (0 where there are no bytes)."""
-        row, gram, own, size = pairs(text, self.order)
-        m, weight = len(text), own.astype(float)
-        score, held = np.zeros(m), np.zeros(m)
+    def places(self, gram: np.ndarray, k: int) -> np.ndarray:
+        """The same for n-grams that may be repeated."""
+        found = pa.array(gram.view(np.int64)).dictionary_encode()
+        return self.find(found.dictionary.to_numpy().view(np.uint64), k)[found.indices.to_numpy()]
+
+    def held_out(self, row: np.ndarray, gram: np.ndarray, own: np.ndarray, at: np.ndarray, m: int) -> np.ndarray:
+        """Log probabilities by text of its n-grams, sorted and each once, without the text's own occurrences. at: their places."""
+        out, weight = np.zeros(m), own.astype(float)
         for k in range(self.order, 0, -1):
             if not len(gram):
-                break
-            at = self.find(gram, k)
-            if k == self.order:
-                score += np.bincount(row, weight * self.logp[at], m)
+                return out
+            if k < self.order:
+                at = self.places(gram, k)
             left = self.n[at] <= own
-            held += np.bincount(row[~left], weight[~left] * self.logp[at[~left]], m)
+            out += np.bincount(row[~left], weight[~left] * self.logp[at[~left]], m)
             # how much of each context's total is the text's own
             context = gram >> np.uint64(8)
             first = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (context[1:] != context[:-1]))))
             ours = np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(row))))
             other = left & (self.total[at] > ours)
-            held += np.bincount(row[other], weight[other] * self.logb[at[other]], m)
+            out += np.bincount(row[other], weight[other] * self.logb[at[other]], m)
             shorter = row[left].astype(np.uint64) << np.uint64(48) | gram[left] & np.uint64((1 << 8 * (k - 1)) - 1)
             both, back, own = np.unique(shorter, return_inverse=True, return_counts=True)
             weight = np.bincount(back, weight[left], len(both))
             row, gram = (both >> np.uint64(48)).astype(np.int64), both & _LOW
-        if len(row):
-            held += np.bincount(row, weight, m) * np.log(1 / 256)
+        return out + (np.bincount(row, weight, m) * np.log(1 / 256) if len(row) else 0)
+
+    def score(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of each normalised text, and its two scores (0 where there are no bytes)."""
+        m = len(text)
+        if m == 1:
+            row, gram, own, size = pairs(text, self.order)
+            at = self.find(gram, self.order)
+            score, held = np.bincount(row, own * self.logp[at], 1), self.held_out(row, gram, own, at, 1)
+        else:
+            g, size = grams(text, self.order)
+            found = pa.array(g.view(np.int64)).dictionary_encode()
+            distinct, code = found.dictionary.to_numpy().view(np.uint64), found.indices.to_numpy()
+            at = self.find(distinct, self.order)
+            # what the model has more often than all these texts together is none's own alone; of the rest, all of a context counts
+            rare = self.n[at] <= np.bincount(code, minlength=len(distinct))
+            context = distinct >> np.uint64(8)
+            rare = np.isin(context, np.unique(context[rare]))
+            each, some = self.logp[at][code], rare[code]
+            full = np.flatnonzero(size)
+            starts = (np.cumsum(size) - size)[full]
+            score, held = np.zeros(m), np.zeros(m)
+            if len(full):
+                score[full] = np.add.reduceat(each, starts)
+                each[some] = 0
+                held[full] = np.add.reduceat(each, starts)
+            row = np.repeat(np.arange(m, dtype=np.uint64), size)[some]
+            both, own = np.unique(row << np.uint64(48) | g[some], return_counts=True)
+            row, gram = (both >> np.uint64(48)).astype(np.int64), both & _LOW
+            held += self.held_out(row, gram, own, self.places(gram, self.order), m)
         bytes_ = np.maximum(size, 1)
         return size, np.round(-score / bytes_, 9), np.round(-held / bytes_, 9)
 
