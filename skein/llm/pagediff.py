@@ -10,7 +10,7 @@ the text itself is moved once, compressed, and written nowhere: pages are read t
 
 Defined results. Scheme, query, fragment, letter case of the host, and slashes at the end make no difference: pages that
 differ in nothing else are one path, and share their partner; it's compared by its least page, by page_id, nulls first,
-then by a hash of the row. A page alone on its host, or whose URL is null or has no host, keeps all lines. A null or
+then by a hash of the row. On a host that has one path only (index.php?id=1, ?id=2, ...) the query belongs to the path. A page alone on its host, or whose URL is null or has no host, keeps all lines. A null or
 empty html has no lines, and an empty text. Of several longest alignments any one may count; the choice depends on the
 two pages alone. Repeated rows count each. Ids of whole numbers come as bigint, others in their own type. Other columns
 are ignored.
@@ -109,12 +109,14 @@ def aligned(a: list[int], b: list[int], table_bits: int = TABLE_BITS) -> list[in
 
 
 def extracted(pages: DataFrame, bodies: bool) -> DataFrame:
-    """page_id, url, host, path, k (hash of the row), hashes of the lines, and, with bodies, the lines compressed."""
+    """page_id, url, host, path, full (path and query), k (hash of the row), hashes of the lines, and, with bodies, the
+    lines compressed."""
     base = r"^[a-zA-Z][a-zA-Z0-9+.\-]*://"
     host = F.lower(F.regexp_extract("url", base + r"([^/?#]+)", 1))
     path = F.regexp_replace(F.regexp_extract("url", base + r"[^/?#]+([^?#]*)", 1), "/+$", "")
-    src = pages.select(key(pages, "page_id", "page_id"), "url", F.when(host != "", host).alias("host"), path.alias("path"), F.xxhash64(F.col("url"), F.col("html")).alias("k"), F.col("html").alias("text"))
-    keep = ["page_id", "url", "host", "path", "k"]
+    full = F.concat(path, F.regexp_extract("url", base + r"[^?#]+(\?[^#]+)", 1))
+    src = pages.select(key(pages, "page_id", "page_id"), "url", F.when(host != "", host).alias("host"), path.alias("path"), full.alias("full"), F.xxhash64(F.col("url"), F.col("html")).alias("k"), F.col("html").alias("text"))
+    keep = ["page_id", "url", "host", "path", "full", "k"]
 
     def run(batches):
         import xxhash
@@ -130,7 +132,7 @@ def extracted(pages: DataFrame, bodies: bool) -> DataFrame:
                     out["body"] = pa.array([squash.compress("\n".join(x).encode()) for x in each], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
 
-    return src.mapInArrow(run, f"page_id {key_type(pages, 'page_id')}, url string, host string, path string, k bigint, hashes binary" + ", body binary" * bodies)
+    return src.mapInArrow(run, f"page_id {key_type(pages, 'page_id')}, url string, host string, path string, full string, k bigint, hashes binary" + ", body binary" * bodies)
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -144,6 +146,13 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(a.isNull() | b.isNull(), -1).otherwise(F.aggregate(steps, F.lit(0), longer))
 
 
+def paths_of(rows: DataFrame) -> DataFrame:
+    """host, full and path for each distinct full of a host; the path takes in the query where the host has one path."""
+    known = rows.select("host", "path", "full").distinct()
+    one = known.groupBy("host").agg((F.min("path") == F.max("path")).alias("one"))
+    return known.join(one, "host").select("host", "full", F.when(F.col("one"), F.col("full")).otherwise(F.col("path")).alias("path"))
+
+
 def partners(paths: DataFrame) -> DataFrame:
     """host, path and partner for distinct host and path; a null partner where the path is alone."""
     keys = paths.filter("host is not null").select("host", "path").distinct()
@@ -163,11 +172,12 @@ def partners(paths: DataFrame) -> DataFrame:
 
 def main_text(pages: DataFrame, table_bits: int = TABLE_BITS) -> DataFrame:
     """page_id, url, text, n_lines, n_removed and partner (its path) of each page."""
-    rows = written(extracted(pages, False), "lines")
-    least = rows.filter("host is not null").groupBy("host", "path").agg(F.min(F.struct("page_id", "k", "hashes")).alias("least"))
-    least = least.select("host", F.col("path").alias("partner"), F.col("least.hashes").alias("other"))
-    pairs = partners(rows.select("host", "path")).filter("partner is not null").join(least, ["host", "partner"])
-    joined = extracted(pages, True).drop("k").join(pairs, ["host", "path"], "left").select("page_id", "url", "hashes", "body", "partner", "other")
+    rows = written(extracted(pages, False), "lines").filter("host is not null")
+    known = written(paths_of(rows), "urls")
+    least = rows.groupBy("host", "full").agg(F.min(F.struct("page_id", "k", "hashes")).alias("least"))
+    least = least.join(known, ["host", "full"]).groupBy("host", F.col("path").alias("partner")).agg(F.min("least").alias("least"))
+    pairs = partners(known).filter("partner is not null").join(least.select("host", "partner", F.col("least.hashes").alias("other")), ["host", "partner"])
+    joined = extracted(pages, True).drop("k", "path").join(known.join(pairs, ["host", "path"]), ["host", "full"], "left").select("page_id", "url", "hashes", "body", "partner", "other")
 
     def run(batches):
         import zstandard

@@ -407,20 +407,32 @@ def test_page_differencing(spark):
         body = "".join(f"<p>{r.choice('abcdef')} &amp; {r.choice('xy')}</p>" for _ in range(r.randrange(0, 9)))
         rows.append((i, f"http{r.choice(['', 's'])}://{host}/{path}{r.choice(['', '/', '?q=1', '#t'])}", f"<ul><li>home</li></ul><!-- x --><script>v='<p>'</script>{body}<div>foot</div>"))
     rows += [(60, None, "<p>n</p>"), (61, "http://a.com/x", None), (62, "no url", "<p>m</p>"), (62, "no url", "<p>m</p>"), (None, "https://b.org/x", "")]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("k", F.lit(1)).withColumn("text", F.lit("t"))
+    for i in range(100, 130):
+        query = r.choice(["", "?", "?id=1", "?id=2", "?id=12&p=/x", "?id=3#t", "#t"])
+        rows.append((i, f"http://{r.choice(['one.org', 'One.org'])}/index.php{query}", f"<p>menu</p><p>{r.choice('abc')}</p><p>{i}</p><p>foot</p>"))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit(1)).withColumn("full", F.lit("f")).withColumn("k", F.lit(1)).withColumn("text", F.lit("t"))
     got = pagediff.main_text(pages.repartition(3)).collect()
     assert len(got) == len(rows)
 
     def split(url):
         if not url or "://" not in url:
-            return None, None
-        host, _, path = url.split("://")[1].split("?")[0].split("#")[0].partition("/")
-        return host.lower(), ("/" + path).rstrip("/")
+            return None, None, None
+        place, _, query = url.split("://", 1)[1].split("#")[0].partition("?")
+        host, _, path = place.partition("/")
+        path = ("/" + path).rstrip("/")
+        return host.lower(), path, path + ("?" + query if query else "")
 
     lines = dict(zip([(a, b, c) for a, b, c in rows], pagediff.lines_of(pa.array([x[2] for x in rows], pa.string()))))
-    paths = defaultdict(dict)
+    plain_paths, paths = defaultdict(set), defaultdict(dict)
     for row in rows:
-        h, p = split(row[1])
+        plain_paths[split(row[1])[0]].add(split(row[1])[1])
+
+    def place_of(url):
+        host, path, full = split(url)
+        return host, full if len(plain_paths[host]) == 1 else path
+
+    for row in rows:
+        h, p = place_of(row[1])
         if h and (p not in paths[h] or (row[0] is not None, row[0] or 0) < (paths[h][p][0] is not None, paths[h][p][0] or 0)):
             paths[h][p] = row
     by_key = defaultdict(list)
@@ -434,7 +446,7 @@ def test_page_differencing(spark):
         return n
 
     for row in rows:
-        h, p = split(row[1])
+        h, p = place_of(row[1])
         own = lines[row]
         x = by_key[row[0], row[1]][0]
         assert x.n_lines == len(own)
@@ -446,6 +458,7 @@ def test_page_differencing(spark):
         assert x.partner in others and common(p, x.partner) == best
         other = lines[paths[h][x.partner]]
         assert x.n_removed == plain.lcs(own, other) == len(own) - len(x.text.split("\n") if x.text else [])
+    assert len({x.partner for x in got if x.url and "one.org" in x.url.lower()}) > 1
     assert pagediff.main_text(pages.limit(0)).count() == 0
 
 
