@@ -1,0 +1,89 @@
+"""Bins of whole components against tables and a plain checker: many components, and a bound that sends some of them to tables."""
+
+import random
+
+import numpy as np
+import pytest
+
+from skein.operators import bins as B
+from skein.operators import graph as G
+from skein.operators import spectral
+from skein.operators.components import components
+from test_graph import Plain, complete, cycle, make
+
+
+def scattered(seed):
+    """Components of several sizes, far ids, an isolated vertex."""
+    r, edges, at = random.Random(seed), [], 0
+    for n in (3, 4, 6, 9, 14):
+        edges += [(at + r.randrange(n), at + r.randrange(n)) for _ in range(2 * n)] + [(at + i, at + i + 1) for i in range(n - 1)]
+        at += n + (1 << 40)
+    return edges, sorted({x for e in edges for x in e} | {7 << 50})
+
+
+@pytest.mark.parametrize("most", [20, 5_000_000])
+def test_structure(spark, most):
+    edges, ids = scattered(1)
+    g, p = make(spark, edges, ids), Plain(edges, ids)
+    assert {r.id: (r.degree, r.triangles) for r in G.local_triangles(g, most).collect()} == {v: (len(p.adj[v]), p.local(v)) for v in ids}
+    assert G.triangles(g, most).first().triangles * 3 == sum(map(p.local, ids))
+    color, label = p.parity()
+    assert {r.id: (r.label, r.color) for r in G.parity(g, most).collect()} == {v: (label[v], color[v]) for v in ids}
+
+
+def test_wedges_stay_in_tasks(spark, monkeypatch):
+    """Triangles and four-cycles of components that fit a task open no joined wedge."""
+    monkeypatch.setattr(G, "triangle_rows", None)
+    monkeypatch.setattr(G, "_square", None)
+    assert G.triangles(make(spark, complete(5) + [(9, 10)])).first().triangles == 10
+    assert G.girth(make(spark, [(a, b + 3) for a in range(3) for b in range(3)] + [(20, 21)])).first().girth == 4
+
+
+def test_steps_stay_in_tasks(spark, monkeypatch):
+    """Graphs of more edges than one task holds, in components that it does hold, need no table a step."""
+    monkeypatch.setattr(spectral, "Steps", None)
+    g = make(spark, complete(4) + [(a + 10, b + 10) for a, b in complete(5)])
+    assert spectral.spectrum(g.vertices, g.edges, iters=50, tol=0, local_edges=20).first().lambda_max == pytest.approx(5)
+    assert spectral.kpm_moments(g.vertices, g.edges, 9.0, 4, 2, local_edges=20).count() == 4
+
+
+def test_spectra_of_many_components(spark):
+    edges, ids = scattered(2)
+    g = make(spark, edges, ids)
+    a, b = (spectral.spectrum(g.vertices, g.edges, iters=5, tol=0, local_edges=n).first().asDict() for n in (5_000, 0))
+    assert a == pytest.approx(b, abs=1e-9)
+    x, y = ({r.id: r.x for r in spectral.fiedler(g.vertices, g.edges, iters=4, tol=0, local_edges=n).collect()} for n in (5_000, 0))
+    assert x == pytest.approx(y, abs=1e-9) and set(x) == set(ids)
+
+
+def part(edges, n):
+    a, b = np.array(sorted({(min(e), max(e)) for e in edges if e[0] != e[1]}), dtype=np.int64).reshape(-1, 2).T
+    p = B.roots(n, a, b)
+    return B.Part(np.arange(n), p, a, b, np.zeros(len(a), np.int32))
+
+
+@pytest.mark.parametrize("chunk", [3, 4_000_000])
+def test_arrays(monkeypatch, chunk):
+    """Against the plain checker, with wedges in chunks of a few."""
+    monkeypatch.setattr(B, "CHUNK", chunk)
+    for seed in range(60):
+        r = random.Random(seed)
+        n = r.randrange(3, 25)
+        edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randrange(1, 3 * n))] + [(0, 1)]
+        g, p = Plain(edges, range(n)), part(edges, n)
+        color, label = g.parity()
+        assert dict(zip(p.ids.tolist(), B.sides(p).tolist())) == color
+        assert dict(zip(p.ids.tolist(), p.names[p.label].tolist())) == label
+        assert dict(zip(p.ids.tolist(), B.triangles_of(p).tolist())) == {v: g.local(v) for v in range(n)}
+        square = any(len(g.adj[a] & g.adj[b]) > 1 for a in range(n) for b in range(a))
+        assert B.has_square(p) == square
+    assert not B.has_square(part(cycle(5), 5)) and B.has_square(part(cycle(4), 4))
+
+
+@pytest.mark.parametrize("one_task", [0, 20_000_000])
+def test_forest(spark, one_task):
+    edges, ids = scattered(3)
+    color, label = Plain(edges, ids).parity()
+    e = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
+    got = {r.node: r.label for r in components(e, one_task).collect()}
+    assert got == {v: label[v] for e in edges for v in e if e[0] != e[1]}
