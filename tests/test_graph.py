@@ -177,3 +177,17 @@ def test_dirac_and_layers(spark):
     assert stack.sublattice_spectrum(x, [1.0], coloring=col).count() == 1
     alone = stack.layered(v, links.filter("dst <> 6 and src <> 6"))
     assert stack.sublattice_spectrum(alone, [1.0]).count() == 0
+
+
+def test_classed_once(spark):
+    """A layered graph's edges come from one written table: reading them joins nothing, whatever reads them."""
+    def joins(df):
+        return str(df._jdf.queryExecution().optimizedPlan().toString()).count("Join")
+
+    links = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 2), (2, 3), (3, 9)], "src bigint, dst bigint")
+    x = stack.layered(spark.createDataFrame([(i, i // 2) for i in range(4)], "id bigint, vault_ord int"), links)
+    assert sorted(tuple(r) for r in x.edges.collect()) == [(0, 1, "intra"), (1, 0, "intra"), (1, 2, "inter"), (2, 1, "inter"), (2, 3, "intra"), (3, 2, "intra")]
+    assert joins(x.edges) == 0
+    e = stack.sublattice_edges(x, stack.colors(x))
+    assert sorted(tuple(r) for r in e.collect()) == [(0, 1, "intra"), (1, 0, "intra"), (1, 2, "ab"), (2, 1, "ab"), (2, 3, "intra"), (3, 2, "intra")]
+    assert joins(e) == 0
