@@ -191,3 +191,22 @@ def test_classed_once(spark):
     e = stack.sublattice_edges(x, stack.colors(x))
     assert sorted(tuple(r) for r in e.collect()) == [(0, 1, "intra"), (1, 0, "intra"), (1, 2, "ab"), (2, 1, "ab"), (2, 3, "intra"), (3, 2, "intra")]
     assert joins(e) == 0
+
+
+def test_dirac_ties(spark):
+    """Vertices whose neighbours have the same vaults tie, and the greater id comes first; wherever rows lie."""
+    r = random.Random(5)
+    counts = [r.randrange(3, 60) for _ in range(7)]
+    links, vaults, at = [], [], 1000
+    for hub in range(12):
+        vaults.append((hub, 0))
+        for k, n in enumerate(counts):
+            for _ in range(n):
+                links.append((hub, at))
+                vaults.append((at, k))
+                at += 1
+    r.shuffle(links)
+    g = G.undirected(spark.createDataFrame(links, "src bigint, dst bigint").repartition(7))
+    got = G.dirac_stack(g, spark.createDataFrame(vaults, "id bigint, vault_ord int")).collect()
+    assert [x.id for x in got] == list(range(11, -1, -1)) and len({x.score for x in got}) == 1
+    assert got[0].spread == dict(enumerate(counts)) and got[0].degree == sum(counts)
