@@ -56,6 +56,25 @@ def test_spectra_of_many_components(spark):
     assert x == pytest.approx(y, abs=1e-9) and set(x) == set(ids)
 
 
+@pytest.mark.parametrize("shift", [0, 1 << 61, -(1 << 61) - 9])
+def test_walks_of_large_components(spark, monkeypatch, shift):
+    """Components too large for a task are walked by lookups, and their cover is cut to forests: no join of edges a level, no stars."""
+    monkeypatch.setattr(G, "_walked", None)
+    if not shift:
+        monkeypatch.setattr("skein.operators.components._state", None)
+    edges = [(a + shift, b + shift) for a, b in cycle(9) + [(20 + a, 20 + b) for a, b in cycle(8)] + [(40 + a, 40 + b) for a, b in complete(5)] + [(45, 44), (45, 46), (46, 1000)]]
+    ids = sorted({x for e in edges for x in e} | {shift + 2_000_000})
+    color, label = Plain(edges, ids).parity()
+    assert {r.id: (r.label, r.color) for r in G.parity(make(spark, edges, ids), 2).collect()} == {v: (label[v], color[v]) for v in ids}
+
+
+def test_members():
+    for ids in ([], [5], [-3, 4, 4, 9], [0, 1 << 62], [-(1 << 63), (1 << 63) - 1]):
+        got = B.Members(np.array(ids, np.int64))
+        ask = np.array([-(1 << 63), -3, 0, 4, 5, 6, 9, 1 << 62, (1 << 63) - 1], np.int64)
+        assert got.holds(ask).tolist() == [x in ids for x in ask.tolist()]
+
+
 def part(edges, n):
     a, b = np.array(sorted({(min(e), max(e)) for e in edges if e[0] != e[1]}), dtype=np.int64).reshape(-1, 2).T
     p = B.roots(n, a, b)
