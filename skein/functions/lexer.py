@@ -6,44 +6,50 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WIKILINK = r"\[\[([^\]|#^]+)(?:[#^][^\]|]*)?(?:\|[^\]]*)?\]\]"
-MDLINK = r"(?<!!)\[[^\]]+\]\(([^)]+\.md)(?:#[^)]*)?\)"
-TAG = r"(?<![\p{L}\p{N}_/])#([A-Za-z][\p{L}\p{N}_/\-]*)"
+MDLINK = r"\[(?<!!\[)[^\]]+\]\(([^)]+\.md)(?:#[^)]*)?\)"
+TAG = r"#(?<![\p{L}\p{N}_/]#)([A-Za-z][\p{L}\p{N}_/\-]*)"
 TASK = r"^\s*[-*]\s+\[([ xX])\]\s+(.*)$"
 FRONTMATTER = r"(?s)^---\n(.*?)\n---\n"
-SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: Java's \s, and what else Python takes for white space.
+SPACE = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 
 
 def newlines(text: Column) -> Column:
     """Any line end as a single line feed."""
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.when(text.contains("\r"), F.regexp_replace(text, r"\r\n?", "\n")).otherwise(text)
 
 
 def stripped(text: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACE))
 
 
 def raw_frontmatter(text: Column) -> Column:
     """What stands between the fences at the very start; null where there are none."""
-    return F.when(text.rlike(FRONTMATTER), F.regexp_extract(text, FRONTMATTER, 1))
+    return F.when(text.startswith("---\n") & text.rlike(FRONTMATTER), F.regexp_extract(text, FRONTMATTER, 1))
 
 
 def body(text: Column) -> Column:
-    return F.regexp_replace(text, FRONTMATTER, "")
+    return F.when(text.startswith("---\n"), F.regexp_replace(text, FRONTMATTER, "")).otherwise(text)
+
+
+def _all(text: Column, pattern: str, part: str) -> Column:
+    """The first groups of all matches, which there are none of without `part`: most texts aren't searched for the pattern at all."""
+    return F.when(text.isNotNull() & ~text.contains(part), F.array().cast("array<string>")).otherwise(F.regexp_extract_all(text, F.lit(pattern), 1))
 
 
 def wikilinks(text: Column) -> Column:
     """Targets in order of the text, as written."""
-    return F.regexp_extract_all(text, F.lit(WIKILINK), 1)
+    return _all(text, WIKILINK, "[[")
 
 
 def mdlinks(text: Column) -> Column:
     """Hrefs of links to .md files, in order."""
-    return F.regexp_extract_all(text, F.lit(MDLINK), 1)
+    return _all(text, MDLINK, ".md")
 
 
 def tags(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(TAG), 1)
+    return _all(text, TAG, "#")
 
 
 def lines(text: Column) -> Column:

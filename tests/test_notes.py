@@ -276,3 +276,25 @@ def test_sinks_over_vaults(spark, tmp_path):
     assert (tmp_path / "B/same.md").read_text().startswith("---\ntags: TODO\n") and (tmp_path / "A/same.md").read_text().endswith("A")
     (share,) = [x.shares for x in proposals.missing_keys(Corpus(c.notes), 0.5).collect()] or [[0.75]]
     assert share == [0.75]
+
+
+def test_patterns_look_no_further_than_they_must(spark):
+    """Patterns that start with a literal, and trims without a pattern, find what look-behinds and white space patterns find."""
+    import re
+
+    texts = ["a#b #c/d ##e _#f ü#g (#h-1) #", "![x](a.md) [x](b.md#t) [[w]](c.md) !\n[y](d.md)", "[[ a ]] [[b|c]] [[　d#e\x1c]]", "---\nk: v\n---\nbody #t", " ---\nk: v\n---\n", "---\nk", "a\r\nb\rc", "\x85  x y \x0b", "", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    c = F.col("t")
+    rows = df.select("i", lexer.tags(c).alias("tags"), lexer.mdlinks(c).alias("md"), lexer.wikilinks(c).alias("wiki"), lexer.stripped(c).alias("s"), lexer.newlines(c).alias("n"), lexer.body(c).alias("b"), lexer.raw_frontmatter(c).alias("fm")).orderBy("i").collect()
+    for t, r in zip(texts, rows):
+        if t is None:
+            assert r[1:] == (None,) * 7
+            continue
+        assert r.tags == re.findall(r"(?<![\w/])#([A-Za-z][\w/\-]*)", t)
+        assert r.md == re.findall(r"(?<!!)\[[^\]]+\]\(([^)]+\.md)(?:#[^)]*)?\)", t)
+        assert r.wiki == re.findall(r"\[\[([^\]|#^]+)(?:[#^][^\]|]*)?(?:\|[^\]]*)?\]\]", t)
+        assert r.s == t.strip() and r.n == re.sub(r"\r\n?", "\n", t)
+        m = re.match(r"(?s)---\n(.*?)\n---\n", t)
+        assert (r.b, r.fm) == ((t[m.end() :], m.group(1)) if m else (t, None))
+    plan = df.select(lexer.tags(c), lexer.mdlinks(c), lexer.stripped(c))._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and "Contains(t" in plan.replace("contains(t", "Contains(t")
