@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from skein.operators import bins as B
+from skein.operators import blocks as K
 from skein.operators import graph as G
 from skein.operators import spectral
 from skein.operators.components import components
@@ -106,3 +108,42 @@ def test_forest(spark, one_task):
     e = spark.createDataFrame(edges, "a bigint, b bigint").repartition(3)
     got = {r.node: r.label for r in components(e, one_task).collect()}
     assert got == {v: label[v] for e in edges for v in e if e[0] != e[1]}
+
+
+@pytest.mark.parametrize("count", [1, 4])
+def test_spectra_in_blocks(spark, monkeypatch, count):
+    """Components of any size need neither a table a step nor labels, and blocks of rows give what bins do."""
+    monkeypatch.setattr("skein.operators.blocks.BLOCK_EDGES", 1 << 30 if count == 1 else 10)
+    edges, ids = scattered(2)
+    edges += [(a, b + (1 << 40)) for a, b in edges[:9]]
+    g = make(spark, edges, ids)
+    want = spectral.spectrum(g.vertices, g.edges, iters=5, tol=1e-2, local_edges=5_000).first().asDict()
+    for name in ("Steps", "labels"):
+        monkeypatch.setattr(spectral, name, None)
+    monkeypatch.setattr(spectral, "TOGETHER", 1)
+    assert spectral.spectrum(g.vertices, g.edges, iters=5, tol=1e-2).first().asDict() == pytest.approx(want, abs=1e-9)
+
+
+def test_block_of_classes():
+    """Weighted Laplacians of several sets, gathered in chunks of a few edges, against a dense matrix."""
+    r = np.random.default_rng(1)
+    n, weights = 12, [[1.0, 2.0, 0.5], [0.0, 1.0, 3.0]]
+    pairs = sorted({(int(a), int(b)) for a, b in r.integers(0, n - 1, (30, 2)) if a < b})
+    kind = r.integers(0, 3, len(pairs))
+    ids = np.arange(n) * 3 + (1 << 61)  # the last has no edge
+    rows = [(i, 0, -1) for i in ids.tolist()] + [(int(ids[x]), int(ids[y]), int(k)) for (a, b), k in zip(pairs, kind) for x, y in ((a, b), (b, a))]
+    batches = [pa.record_batch([pa.array(c) for c in zip(*rows[i : i + 7])], names=["src", "dst", "kind"]) for i in range(0, len(rows), 7)]
+    x = r.random((2, n))
+    for chunk in (1, 4, 1000):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(K, "CHUNK", chunk)
+            block = K.Block(K.Peers("", 1, 0, ""), iter(batches), weights)
+        assert block.ids.tolist() == ids.tolist()
+        for k, w in enumerate(weights):
+            a = np.zeros((n, n))
+            for (i, j), c in zip(pairs, kind):
+                a[i, j] = a[j, i] = w[c]
+            assert block.apply(x, [0, 1])[k] == pytest.approx((np.diag(a.sum(0)) - a) @ x[k])
+    outside = pa.record_batch([pa.array([5, 5]), pa.array([0, 6]), pa.array([-1, 0])], names=["src", "dst", "kind"])
+    with pytest.raises(ValueError, match="outside"):
+        K.Block(K.Peers("", 1, 0, ""), iter([outside]), [[1.0]])
