@@ -118,10 +118,13 @@ def test_spectra_in_blocks(spark, monkeypatch, count):
     edges += [(a, b + (1 << 40)) for a, b in edges[:9]]
     g = make(spark, edges, ids)
     want = spectral.spectrum(g.vertices, g.edges, iters=5, tol=1e-2, local_edges=5_000).first().asDict()
+    vec = {r.id: r.x for r in spectral.fiedler(g.vertices, g.edges, iters=4, tol=0, local_edges=5_000).collect()}
     for name in ("Steps", "labels"):
         monkeypatch.setattr(spectral, name, None)
     monkeypatch.setattr(spectral, "TOGETHER", 1)
     assert spectral.spectrum(g.vertices, g.edges, iters=5, tol=1e-2).first().asDict() == pytest.approx(want, abs=1e-9)
+    got = {r.id: r.x for r in spectral.fiedler(g.vertices, g.edges, iters=4, tol=0).collect()}
+    assert got == pytest.approx(vec, abs=1e-9)
 
 
 def test_block_of_classes():
