@@ -119,12 +119,16 @@ def test_spectra_in_blocks(spark, monkeypatch, count):
     g = make(spark, edges, ids)
     want = spectral.spectrum(g.vertices, g.edges, iters=5, tol=1e-2, local_edges=5_000).first().asDict()
     vec = {r.id: r.x for r in spectral.fiedler(g.vertices, g.edges, iters=4, tol=0, local_edges=5_000).collect()}
+    mu = [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 30.0, 5, 3, local_edges=5_000).orderBy("k").collect()]
+    dos = spectral.density_of_states(g.vertices, g.edges, moments=4, probes=2, bins=6, local_edges=5_000).collect()
     for name in ("Steps", "labels"):
         monkeypatch.setattr(spectral, name, None)
     monkeypatch.setattr(spectral, "TOGETHER", 1)
     assert spectral.spectrum(g.vertices, g.edges, iters=5, tol=1e-2).first().asDict() == pytest.approx(want, abs=1e-9)
     got = {r.id: r.x for r in spectral.fiedler(g.vertices, g.edges, iters=4, tol=0).collect()}
     assert got == pytest.approx(vec, abs=1e-9)
+    assert [r.mu for r in spectral.kpm_moments(g.vertices, g.edges, 30.0, 5, 3).orderBy("k").collect()] == pytest.approx(mu, abs=1e-9)
+    assert [r.rho for r in spectral.density_of_states(g.vertices, g.edges, moments=4, probes=2, bins=6).collect()] == pytest.approx([r.rho for r in dos], abs=1e-9)
 
 
 def test_block_of_classes():
